@@ -1,0 +1,24 @@
+"""Queries p1 to p5: the general data problems over the project's tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from barloom.operators.timestamps import normalise_timestamps, utc_text
+from barloom.session import table
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """UTC instant of every bar and second bar whose text is not already plain UTC."""
+    manifests = table(spark, sf_dir, "manifests")
+
+    def of(name: str, row_id: str, column: str, order_by: str) -> DataFrame:
+        out = normalise_timestamps(table(spark, sf_dir, name), manifests, column, order_by=order_by, row_id=row_id, plain_utc=False)
+        return out.select(F.lit(name).alias("src"), F.col(row_id).alias("row_id"), F.coalesce(utc_text(F.col("ts_utc")), F.lit("none")).alias("ts_utc"))
+
+    return of("bars", "bar_id", "timestamp", "seq_no").unionByName(of("second_bars", "row_id", "ts_event", "row_id"))
+
+
+QUERIES = {"p1_found": p1_found}
+ORACLES: dict[str, str] = {}
