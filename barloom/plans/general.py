@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.operators.asknown import attach_as_known
+from barloom.operators.rejects import accepted, load_records, rejected
+from barloom.operators.spikes import implausible_bars
+from barloom.operators.tablediff import diff_tables
 from barloom.operators.timestamps import normalise_timestamps, utc_text
 from barloom.session import table
 
@@ -20,5 +24,76 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of("bars", "bar_id", "timestamp", "seq_no").unionByName(of("second_bars", "row_id", "ts_event", "row_id"))
 
 
-QUERIES = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades whose recorded ATR isn't the one in force at entry, with the right one."""
+    recorded = F.nanvl(F.col("atr_value"), F.lit(None).cast("double"))
+    trades = table(spark, sf_dir, "trades").select("trade_id", "instrument_id", "entry_time", "atr_source_end", recorded.alias("atr_value")).where(F.col("atr_value").isNotNull())
+    atr = table(spark, sf_dir, "atr_4h").withColumn("tr", F.nanvl(F.col("tr"), F.lit(None).cast("double"))).where(F.col("tr").isNotNull())
+    held = attach_as_known(
+        trades, atr, event_entity="instrument_id", event_time="entry_time", entity="instrument_id", known_at="available_at",
+        rank=["source_end", "available_at"], keep=["tr"], row_id="atr_id",
+    )
+    right = held["in_force"]
+    fits = right.isNotNull() & F.coalesce(F.col("atr_source_end") == right["source_end"], F.lit(False)) & (F.abs(F.col("atr_value") - right["tr"]) <= 1e-9)
+    return held.where(~fits).select("trade_id", F.coalesce(right["atr_id"], F.lit(-1).cast("bigint")).alias("atr_id")).distinct()
+
+
+P2_SQL = """
+WITH t AS (
+  SELECT DISTINCT trade_id, instrument_id, entry_time, atr_source_end, atr_value FROM trades
+  WHERE atr_value IS NOT NULL AND NOT isnan(atr_value)
+), a AS (SELECT DISTINCT atr_id, instrument_id, source_end, available_at, tr FROM atr_4h WHERE tr IS NOT NULL AND NOT isnan(tr)),
+j AS (
+  SELECT t.trade_id, t.atr_source_end, t.atr_value,
+         max(ROW(a.source_end, a.available_at, a.atr_id, a.tr)) AS r
+  FROM t LEFT JOIN a ON a.instrument_id = t.instrument_id AND a.available_at <= t.entry_time
+  GROUP BY ALL
+), k AS (
+  SELECT trade_id, atr_source_end, atr_value, r[1] AS source_end, r[3] AS atr_id, r[4] AS tr FROM j
+)
+SELECT DISTINCT trade_id, coalesce(atr_id, -1)::BIGINT AS atr_id FROM k
+WHERE atr_id IS NULL OR atr_source_end IS NULL OR atr_source_end <> source_end OR abs(atr_value - tr) > 1e-9
+"""
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars that can't be real for their series."""
+    return implausible_bars(table(spark, sf_dir, "bars"), table(spark, sf_dir, "instruments")).select("bar_id").distinct()
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records that don't load as bars, with the reason."""
+    return rejected(load_records(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "manifests")))
+
+
+def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that load, typed."""
+    return accepted(load_records(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "manifests")))
+
+
+P5_FIELDS = ["exit_price", "gross_R", "net_R", "exit_reason", "exit_time"]
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trades missing on either side of the two ledgers, and each differing field of the others."""
+    found = diff_tables(table(spark, sf_dir, "trades"), table(spark, sf_dir, "trades_ref"), key="trade_id", fields=P5_FIELDS, version="recorded_at", names=("trades", "trades_ref"))
+    only = F.when(F.col("field") == "only_trades", "only_trades").when(F.col("field") == "only_trades_ref", "only_trades_ref").otherwise(F.col("field"))
+    return found.select("trade_id", only.alias("field"))
+
+
+_P5_SIDE = """SELECT trade_id, max(ROW(recorded_at, {})) AS r FROM {} WHERE trade_id IS NOT NULL GROUP BY trade_id"""
+
+
+def _p5_sql() -> str:
+    clean = {"exit_price": 1, "gross_R": 1, "net_R": 1}
+    cols = ", ".join(f"CASE WHEN isnan({f}) THEN NULL ELSE {f} END" if f in clean else f for f in P5_FIELDS)
+    parts = ["SELECT trade_id, 'only_trades' AS field FROM j WHERE b IS NULL", "SELECT trade_id, 'only_trades_ref' AS field FROM j WHERE a IS NULL"]
+    for i, f in enumerate(P5_FIELDS, 2):
+        differs = f"(a[{i}] IS NULL) <> (b[{i}] IS NULL) OR coalesce(abs(a[{i}] - b[{i}]) > 1e-9, false)" if f in clean else f"a[{i}] IS DISTINCT FROM b[{i}]"
+        parts.append(f"SELECT trade_id, '{f}' AS field FROM j WHERE a IS NOT NULL AND b IS NOT NULL AND ({differs})")
+    sides = f"a AS ({_P5_SIDE.format(cols, 'trades')}), b AS ({_P5_SIDE.format(cols, 'trades_ref')})"
+    return f"WITH {sides}, j AS (SELECT trade_id, a.r AS a, b.r AS b FROM a FULL JOIN b USING (trade_id)) " + " UNION ALL ".join(parts)
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found}
+ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p5_found": _p5_sql()}
