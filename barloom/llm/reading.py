@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
 BREAK = re.compile(r"[-=¬­] ?\r?\n")
-QUANTILES = (0.25, 0.5, 0.75, 0.9)
+QUANTILES = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9)
 
 
 @dataclass(frozen=True)
