@@ -79,7 +79,7 @@ def attach_as_known(
     )
     quick = joined.where(small).select("_event", replayed.alias("_row"))
     # The rest, exactly: changes of over-long logs are joined and the best one is kept by aggregation.
-    slow = joined.where(~small).select("_event", "_k", "_per", "_at", "_snap").withColumn("_eid", F.monotonically_increasing_id())
+    slow = held.join(long_keys, ["_k", "_per"], "left_semi").join(snaps.drop("_n"), ["_k", "_per"], "left").withColumn("_eid", F.monotonically_increasing_id())
     pairs = slow.join(log.join(long_keys, ["_k", "_per"], "left_semi").select("_k", "_per", "_known", F.col("_row").alias("_new")), ["_k", "_per"], "left")
     best = pairs.groupBy("_eid").agg(F.first("_event").alias("_event"), F.first("_snap").alias("_snap"), F.max(F.when(F.col("_known") <= F.col("_at"), F.col("_new"))).alias("_new"))
     slow_out = best.select("_event", F.when(F.col("_new").isNull() | (F.col("_snap") > F.col("_new")), F.col("_snap")).otherwise(F.col("_new")).alias("_row"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from barloom.functions.market import finite
 from barloom.operators.blocks import in_blocks, with_positions
 from barloom.params import StrategyParams
+from barloom.session import cut_lineage
 
 SERIES = "series_id"
 
@@ -76,7 +77,8 @@ def keltner(close: Column, ema_: Column, mean_range: Column) -> Column:
 def build_features(bars: DataFrame, p: StrategyParams = StrategyParams(), series: str = SERIES, *, with_ema: bool = True) -> DataFrame:
     """``bars`` (series, bar_ts, prices, volume) with fracdiff, z, previous_z, ema, mean_range, keltner, the next row's time and open, and the signals."""
     close = finite(F.col("close").cast("double"))
-    rows = with_positions(bars, [series], "bar_ts")
+    # Positioned bars are read by the EMA's two passes and the windows; they are computed once.
+    rows = cut_lineage(with_positions(bars, [series], "bar_ts"))
     if with_ema:
         rows = ema(rows, "close", p.ema_span, "ema", series=[series], block=p.block)
     back = p.lookback

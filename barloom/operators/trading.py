@@ -10,6 +10,7 @@ from barloom.operators.asknown import AsKnownParams, attach_as_known
 from barloom.operators.bars import resample
 from barloom.operators.indicators import SERIES, build_features
 from barloom.params import StrategyParams
+from barloom.session import cut_lineage
 
 
 def build_candidates(features: DataFrame, signal: str = "signal_passes_keltner") -> DataFrame:
@@ -101,9 +102,10 @@ def proposed(bars: DataFrame, p: StrategyParams = StrategyParams(), *, channel:
 
 
 def run_backtest(bars: DataFrame, p: StrategyParams = StrategyParams(), *, channel: bool = True) -> DataFrame:
-    """Accepted ledger of each series."""
-    held = attach_atr(proposed(bars, p, channel=channel), true_range_4h(bars)).where(F.col("atr_value").isNotNull())
-    return accounting(accept_one_at_a_time(simulate(with_brackets(held, p), bars)), p)
+    """Accepted ledger of each series. Bars, candidates and ledger are each computed once, however often they are read on."""
+    bars = cut_lineage(bars)
+    held = attach_atr(cut_lineage(proposed(bars, p, channel=channel)), true_range_4h(bars)).where(F.col("atr_value").isNotNull())
+    return cut_lineage(accounting(accept_one_at_a_time(simulate(with_brackets(held, p), bars)), p))
 
 
 def summarize(trades: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.functions import market as M
@@ -12,7 +12,7 @@ from barloom.operators import causality as C
 from barloom.operators import indicators as I
 from barloom.operators import trading as T
 from barloom.params import IN_SAMPLE, OUT_OF_SAMPLE, StrategyParams
-from barloom.session import table
+from barloom.session import cut_lineage, table
 
 #: The test stream is too calm for the frozen threshold; the operators take it as a parameter.
 P = StrategyParams(z_threshold=2.0, keltner_max=99.0)
@@ -271,8 +271,8 @@ def true_range_4h(spark, d):
 
 
 def _held(spark, d):
-    b = bars(spark, d)
-    return T.attach_atr(T.proposed(b, P, channel=False), T.true_range_4h(b)), b
+    b = cut_lineage(bars(spark, d))
+    return T.attach_atr(cut_lineage(T.proposed(b, P, channel=False)), T.true_range_4h(b)), b
 
 
 @query(f"{candidates_sql(False)}, {ATR_SQL} SELECT entry_time, atr_source_start, atr_source_end, round(atr_value, 6) + 0.0 AS atr_value FROM atr")
@@ -461,7 +461,8 @@ def _scenario(spark, d, kind: str) -> DataFrame:
     b, at = bars(spark, d), f"TIMESTAMP_NTZ'{CUT}'"
     other = b.where(F.col("bar_ts") < F.expr(at)) if kind == "truncation" else C.mutate_future(b, at, keys=[I.SERIES])
     both = b.withColumn(I.SERIES, F.lit("full")).unionByName(other.withColumn(I.SERIES, F.lit("other")))
-    f = C.known_before(I.build_features(both, P), "features", at).select(I.SERIES, "bar_ts", "z", "ema", "mean_range", "keltner")
+    f = cut_lineage(I.build_features(both, P))
+    f = C.known_before(f, "features", at).select(I.SERIES, "bar_ts", "z", "ema", "mean_range", "keltner")
     x, y = (f.where(F.col(I.SERIES) == s).drop(I.SERIES) for s in ("full", "other"))
     return A.beside(x.agg(F.count("*").alias("rows")), A.compare_rows(x, y, ["bar_ts"], ["z", "ema", "mean_range", "keltner"]).agg(F.sum("mismatches").alias("differing")))
 
