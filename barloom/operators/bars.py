@@ -66,10 +66,13 @@ RULES = ("empty_timestamp", "not_chronological", "duplicate_timestamp", "nonfini
 
 
 def _previous(df: DataFrame, ts: str, row: str, keys: list[str], block: int = 65_536) -> DataFrame:
-    """``_prev``: the time of the stored row before, over blocks of row numbers with one row of halo."""
-    home = F.floor(F.col(row) / block)
-    spread = df.withColumn("_b", F.explode(F.array_compact(F.array(home, F.when((F.col(row) + 1) % block == 0, home + 1))))).withColumn("_own", F.col("_b") == home)
-    return spread.withColumn("_prev", F.lag(ts).over(Window.partitionBy(*keys, "_b").orderBy(row))).where("_own").drop("_own", "_b")
+    """``_prev``: the value of the stored row before. Rows are ordered within stretches of row numbers, and a stretch meets the last row of the one before; row numbers may have gaps."""
+    placed = df.withColumn("_b", F.floor(F.col(row) / block))
+    ends = placed.where(F.col("_b").isNotNull()).groupBy(*keys, "_b").agg(F.max_by(F.struct(F.col(ts).alias("v")), row).alias("_end"))
+    ends = ends.select(*keys, "_b", F.lag("_end").over(Window.partitionBy(*keys).orderBy("_b"))["v"].alias("_carry"))
+    w = Window.partitionBy(*keys, "_b").orderBy(row)
+    joined = placed.join(ends, [*keys, "_b"], "left")
+    return joined.withColumn("_prev", F.when(F.row_number().over(w) == 1, F.col("_carry")).otherwise(F.lag(ts).over(w))).drop("_b", "_carry")
 
 
 def validation_counts(df: DataFrame, *, ts: str = "bar_ts", row: str | None = None, keys: list[str] | None = None) -> DataFrame:

@@ -41,8 +41,8 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 P2_SQL = """
 WITH t AS (
   SELECT DISTINCT trade_id, instrument_id, entry_time, atr_source_end, atr_value FROM trades
-  WHERE atr_value IS NOT NULL AND NOT isnan(atr_value)
-), a AS (SELECT DISTINCT atr_id, instrument_id, source_end, available_at, tr FROM atr_4h WHERE tr IS NOT NULL AND NOT isnan(tr)),
+  WHERE atr_value IS NOT NULL AND CAST(atr_value AS VARCHAR) <> 'nan'
+), a AS (SELECT DISTINCT atr_id, instrument_id, source_end, available_at, tr FROM atr_4h WHERE tr IS NOT NULL AND CAST(tr AS VARCHAR) <> 'nan'),
 j AS (
   SELECT t.trade_id, t.atr_source_end, t.atr_value,
          max(ROW(a.source_end, a.available_at, a.atr_id, a.tr)) AS r
@@ -85,8 +85,9 @@ _P5_SIDE = """SELECT trade_id, max(ROW(recorded_at, {})) AS r FROM {} WHERE trad
 
 
 def _p5_sql() -> str:
+    # NaN is told by its text: the files' statistics leave NaN out, and isnan() is folded by them.
     clean = {"exit_price": 1, "gross_R": 1, "net_R": 1}
-    cols = ", ".join(f"CASE WHEN isnan({f}) THEN NULL ELSE {f} END" if f in clean else f for f in P5_FIELDS)
+    cols = ", ".join(f"CASE WHEN CAST({f} AS VARCHAR) <> 'nan' THEN {f} END" if f in clean else f for f in P5_FIELDS)
     parts = ["SELECT trade_id, 'only_trades' AS field FROM j WHERE b IS NULL", "SELECT trade_id, 'only_trades_ref' AS field FROM j WHERE a IS NULL"]
     for i, f in enumerate(P5_FIELDS, 2):
         differs = f"(a[{i}] IS NULL) <> (b[{i}] IS NULL) OR coalesce(abs(a[{i}] - b[{i}]) > 1e-9, false)" if f in clean else f"a[{i}] IS DISTINCT FROM b[{i}]"
