@@ -13,8 +13,8 @@ are merged to runs and valued by the information of their words; a page and
 item whose runs, in the order of both, carry enough go on to an exact check: short letter strings shared by page and item are grouped by line
 and diagonal, and runs of lines whose places in the item follow each other are
 chained, skipping foreign lines. The pair counts if the chain covers
-``min_words`` words of one stretch of the item with at least ``min_share`` of
-that stretch covered.
+``min_words`` words of one stretch of the item and the information of the words
+there outweighs that of the words missing by ``min_balance`` nats.
 
 Scale: the held-out set is the query; its size is a checked bound
 (``max_item_letters``; beyond it items are searched in several passes of
@@ -46,7 +46,7 @@ class LeakParams:
     m: int = 12
     block: int = 6
     bits: int = 22
-    min_information: float = 24.0  # nats of a pair's chained seeds; a passage of 20 words carries over 100 before faults
+    min_information: float = 20.0  # nats of a pair's chained seeds; a passage of 20 words carries over 100 before faults
     one_word: float = 8.0  # nats that chance agreement of one word carries
     back: int = 6
     seed_reach: int = 1_500  # letters of a page within which seeds support each other
@@ -55,8 +55,10 @@ class LeakParams:
     max_item_gap: int = 60
     gap_cost: float = 0.9  # for each letter of the item that a chain skips
     max_line_gap: int = 40
-    min_words: int = 17
-    min_share: float = 0.78
+    min_words: int = 15
+    min_share: float = 0.6
+    loss: float = 1.5  # weight of missing against covered information
+    min_balance: float = 66.0  # nats; twenty words carry well over 100
     max_item_letters: int = 4_000_000  # of the query set in one pass
     batch_chars: int = 1_500_000
     stretch: int = 1_000_000
@@ -149,15 +151,15 @@ def _candidates(letters: Letters, j: np.ndarray, item: np.ndarray, i: np.ndarray
     return np.stack([pair[start][good] >> 32, pair[start][good] & 0xFFFFFFFF], 1)
 
 
-def _check(page_grams: np.ndarray, page_line: np.ndarray, items: Items, item: int) -> tuple[int, float]:
-    """Words of the item covered in its best stretch on this page, and their share of the stretch."""
+def _check(page_grams: np.ndarray, page_line: np.ndarray, items: Items, item: int) -> tuple[int, float, float]:
+    """Words of the item covered in its best stretch on this page, the share of its information there, and the balance of what is there and what is missing."""
     p = items.p
     g, where = items.gram_index(item)
     lo, hi = np.searchsorted(g, page_grams, "left"), np.searchsorted(g, page_grams, "right")
     count = hi - lo
     total = int(count.sum())
     if not total:
-        return 0, 0.0
+        return 0, 0.0, 0.0
     j = np.repeat(np.arange(len(page_grams)), count)
     i = where[np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
     line, diag = page_line[j], i - j
@@ -168,7 +170,7 @@ def _check(page_grams: np.ndarray, page_line: np.ndarray, items: Items, item: in
     size = np.bincount(group)
     keep = size >= 4  # k + 3 letters in a row, or two shorter strings on one diagonal
     if not keep.any():
-        return 0, 0.0
+        return 0, 0.0, 0.0
     starts = np.flatnonzero(new)
     a = np.minimum.reduceat(i, starts)[keep]
     b = np.maximum.reduceat(i, starts)[keep] + p.k
@@ -212,7 +214,10 @@ def _check(page_grams: np.ndarray, page_line: np.ndarray, items: Items, item: in
     hit = np.bincount(word, covered[:length])
     inside = np.unique(word[x:y])
     full = hit[inside] >= 0.5 * letters[inside]
-    return int(full.sum()), float(full.mean())
+    # Common words agree by chance on any page; each letter counts by its word's information.
+    each = np.diff(items.information[base : base + length + 1])[x:y]
+    there, whole = float(each[covered[x:y]].sum()), float(each.sum())
+    return int(full.sum()), there / max(whole, 1e-9), there - p.loss * (whole - there)
 
 
 def find_in_texts(texts: list[str | None], items: Items) -> list[tuple[int, int, int, float]]:
@@ -228,8 +233,8 @@ def find_in_texts(texts: list[str | None], items: Items) -> list[tuple[int, int,
             x, y = L.start[d], L.start[d + 1]
             n = max(0, y - x - p.k + 1)
             grams, lines, last = packed(L.code, x + np.arange(n), p.k), L.line[x : x + n], d
-        words, share = _check(grams, lines, items, int(it))
-        if words >= p.min_words and share >= p.min_share:
+        words, share, balance = _check(grams, lines, items, int(it))
+        if words >= p.min_words and share >= p.min_share and balance >= p.min_balance:
             out.append((int(d), int(it), words, share))
     return out
 
