@@ -13,11 +13,13 @@ Broken line ends are joined; words the model doesn't know, among them most
 misread ones, don't count.
 
 Bounds: the model is fitted on at most ``max_pages`` graded pages (chosen by
-hash of the id); its vocabulary is bounded by their text. Everything else
+hash of the id), counted on the workers; its vocabulary is bounded by their
+text and by ``min_pages``. Everything else
 covers all pages: each page is read whole and once, in Python workers.
 
 Defined results: raters' grades are combined by the mean of non-null grades,
-repeated labels count once; pages graded by nobody aren't used for fitting.
+repeated labels count once; pages graded by nobody aren't used for fitting, and
+of several texts with one graded id the greatest is.
 A page without known words gets the band at the middle of the calibration
 (``fallback``); null texts likewise. Without any graded page every band is
 null. Extra columns and repeated pages are kept apart by row.
@@ -65,57 +67,95 @@ def _features(words: list[str], grade: dict[str, float]) -> np.ndarray | None:
     return np.quantile(np.array(known), QUANTILES) if known else None
 
 
-def fit_on(pages: list[tuple[str, float]], params: ReadingParams = ReadingParams()) -> LevelModel:
-    """``pages``: texts with their mean grade."""
-    bands = list(params.bands)
-    by_word: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(bands)))
-    seen: Counter = Counter()
-    total = np.zeros(len(bands))
-    read = []
-    for text, grade in pages:
-        band = int(np.argmin([abs(grade - b) for b in bands]))
-        words = words_of(text)
-        read.append((words, band))
-        counts = Counter(words)
-        seen.update(counts.keys())
-        for w, n in counts.items():
-            by_word[w][band] += n
-        total[band] += len(words)
-    if not read:
-        return LevelModel()
-    rate = {w: c / np.maximum(total, 1) for w, c in by_word.items() if seen[w] >= params.min_pages}
+def _band_index(grade: float, params: ReadingParams) -> int:
+    return int(np.argmin([abs(grade - b) for b in params.bands]))
+
+
+def _grades(counts: dict[str, np.ndarray], total: np.ndarray, params: ReadingParams) -> dict[str, float]:
+    """Acquisition grade of each word: where half of its use is reached, all bands weighing the same."""
     grade = {}
-    for w, r in rate.items():
+    for w, c in counts.items():
+        r = c / np.maximum(total, 1)
         share = np.cumsum(r / r.sum())
         k = int(np.searchsorted(share, 0.5))
         below = share[k - 1] if k else 0.0
-        grade[w] = bands[k] - 0.5 + float((0.5 - below) / max(share[k] - below, 1e-12))
-    rows = [(f, b) for words, b in read if (f := _features(words, grade)) is not None]
+        grade[w] = params.bands[k] - 0.5 + float((0.5 - below) / max(share[k] - below, 1e-12))
+    return grade
+
+
+def _calibrated(grade: dict[str, float], x: np.ndarray, y: np.ndarray, params: ReadingParams) -> LevelModel:
+    """Centres of the quantiles by band, and their spread."""
     model = LevelModel(grade=grade)
-    if not rows:
+    if not len(x):
         return model
-    x, y = np.stack([f for f, _ in rows]), np.array([b for _, b in rows])
     spread = np.zeros(x.shape[1])
     for b in np.unique(y):
         centre = np.median(x[y == b], axis=0)
         model.centres.append(centre.tolist())
-        model.bands.append(bands[int(b)])
+        model.bands.append(params.bands[int(b)])
         spread = spread + np.abs(x[y == b] - centre).sum(axis=0)
     model.spread = np.maximum(spread / len(y), 0.02).tolist()
     model.fallback = model.bands[len(model.bands) // 2]
     return model
 
 
+def _counted(pages: list[tuple[str, int]], n_bands: int) -> pd.DataFrame:
+    """Of some pages (text, band): word, pages it stands on, uses by band."""
+    uses: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(n_bands + 1, np.int64))
+    for text, band in pages:
+        for w, n in Counter(words_of(text)).items():
+            uses[w][band] += n
+            uses[w][n_bands] += 1
+    if not uses:
+        return pd.DataFrame({"word": [], "pages": [], **{f"c{b}": [] for b in range(n_bands)}}).astype({"word": "object", "pages": "int64", **{f"c{b}": "int64" for b in range(n_bands)}})
+    table = np.stack(list(uses.values()))
+    return pd.DataFrame({"word": list(uses), "pages": table[:, n_bands], **{f"c{b}": table[:, b] for b in range(n_bands)}})
+
+
+def fit_on(pages: list[tuple[str, float]], params: ReadingParams = ReadingParams()) -> LevelModel:
+    """``pages``: texts with their mean grade, in this process."""
+    n = len(params.bands)
+    banded = [(t, _band_index(g, params)) for t, g in pages]
+    table = _counted(banded, n)
+    bands = [f"c{b}" for b in range(n)]
+    known = table[table["pages"] >= params.min_pages]
+    grade = _grades(dict(zip(known["word"], known[bands].to_numpy(float))), table[bands].sum().to_numpy(float), params)
+    rows = [(f, b) for t, b in banded if (f := _features(words_of(t), grade)) is not None]
+    return _calibrated(grade, np.array([f for f, _ in rows]), np.array([b for _, b in rows]), params)
+
+
 def fit_levels(documents: DataFrame, labels: DataFrame, params: ReadingParams = ReadingParams()) -> LevelModel:
-    """Fits on at most ``params.max_pages`` graded pages."""
+    """Fits on at most ``params.max_pages`` graded pages, whose texts stay on the workers: the driver gets words and quantiles."""
+    n = len(params.bands)
+    distance = [F.struct(F.abs(F.avg("grade") - b).alias("d"), F.lit(k).alias("k")) for k, b in enumerate(params.bands)]
     graded = (
         labels.where(F.col("grade").isNotNull() & F.col("doc_id").isNotNull())
         .select("label_id", "doc_id", "rater", "grade").distinct()
-        .groupBy("doc_id").agg(F.avg("grade").alias("_grade"))
-        .orderBy(F.xxhash64("doc_id")).limit(params.max_pages)
+        .groupBy("doc_id").agg(F.least(*distance)["k"].alias("_band"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(params.max_pages)
     )
-    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(graded, "doc_id").select("doc_id", "text", "_grade").dropDuplicates(["doc_id"]).collect()
-    return fit_on(sorted((r["text"], r["_grade"]) for r in rows), params)
+    # Bounded by max_pages rows, so it may go to all workers; the pages aren't shuffled.
+    pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(graded), "doc_id")
+    pages = pages.groupBy("doc_id", "_band").agg(F.max("text").alias("text"))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield _counted(list(zip(pdf["text"], pdf["_band"])), n)
+
+    bands = [f"c{b}" for b in range(n)]
+    words = pages.select("text", "_band").mapInPandas(count, ", ".join(["word string", "pages bigint", *(f"{b} bigint" for b in bands)]))
+    table = words.groupBy("word").agg(F.sum("pages").alias("pages"), *[F.sum(b).alias(b) for b in bands])
+    rows = table.where(F.col("pages") >= params.min_pages).toPandas()
+    total = np.array([x or 0 for x in table.agg(*[F.sum(b) for b in bands]).first()], float)
+    grade = _grades(dict(zip(rows["word"], rows[bands].to_numpy(float))), total, params)
+
+    def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [(_features(words_of(t), grade), b) for t, b in zip(pdf["text"], pdf["_band"])]
+            yield pd.DataFrame([(f.tolist(), b) for f, b in found if f is not None], columns=["f", "b"])
+
+    described = pages.select("text", "_band").mapInPandas(describe, "f array<double>, b int").collect()
+    return _calibrated(grade, np.array([r["f"] for r in described]), np.array([r["b"] for r in described]), params)
 
 
 def band_of(text: str | None, model: LevelModel) -> int | None:
