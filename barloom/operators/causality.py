@@ -68,26 +68,39 @@ def time_column(frame: DataFrame, stage: str) -> str:
     raise ValueError(f"stage {stage} has no time column")
 
 
-def generate_cutoffs(times: list, events: dict[str, list] | None = None, *, mode: str = "strong", seed: int = 1729, explicit: list | None = None) -> list:
-    """Cutoffs over the ordered bar times: explicit ones, or evenly spaced places, warm-up ends, seeded draws, transitions and stage events, thinned to the mode's number."""
-    if explicit:
-        return sorted(set(explicit))
-    n = len(times)
+def choose_positions(n: int, turns: list[int], marks: list[int], *, mode: str = "strong", seed: int = 1729) -> list[int]:
+    """Positions of cutoffs among ``n`` ordered times: evenly spaced places, warm-up ends, seeded draws, the first transitions and the stage events, thinned to the mode's number."""
     if n < 2:
         return []
     places = {int(x) for x in np.linspace(1, n - 1, 11)} | {w for w in WARM if w < n}
-    places |= {int(x) for x in np.random.default_rng(seed).choice(np.arange(1, n), size=min(10, n - 1), replace=False)}
-    turns = [k for k in range(1, n) if times[k].date() != times[k - 1].date() or times[k].hour in HOURS]
+    places |= {int(x) for x in np.random.default_rng(seed).choice(n - 1, size=min(10, n - 1), replace=False) + 1}
     places |= set(turns[:12])
-    stamps = np.array(times, dtype="datetime64[us]")
-    for marks in (events or {}).values():
-        for t in sorted(set(marks))[:8]:
-            k = int(np.searchsorted(stamps, np.datetime64(t, "us"), side="right"))
-            places |= {x for x in (k - 1, k) if 0 < x < n}
+    for k in marks:
+        places |= {x for x in (k - 1, k) if 0 < x < n}
     ordered, most = sorted(places), LIMITS[mode]
     if len(ordered) > most:
         ordered = [ordered[int(k)] for k in np.unique(np.linspace(0, len(ordered) - 1, most).astype(int))]
-    return [times[k] for k in ordered]
+    return ordered
+
+
+def generate_cutoffs(bars: DataFrame, events: dict[str, list] | None = None, *, mode: str = "strong", seed: int = 1729, explicit: list | None = None) -> list:
+    """Cutoff times. Only the number of times, twelve transitions, event positions and the chosen times come to the driver."""
+    if explicit:
+        return sorted(set(explicit))
+    from barloom.operators.blocks import in_blocks, with_positions
+
+    times = bars.select("bar_ts").where(F.col("bar_ts").isNotNull()).distinct().withColumn("_all", F.lit(1))
+    placed = with_positions(times, ["_all"], "bar_ts")
+    n = placed.count()
+    turned = in_blocks(placed, 65_536, back=1).withColumn("_last", F.lag("bar_ts").over(Window.partitionBy("_block").orderBy("_pos"))).where("_core")
+    # A change of day, or any row in one of the listed hours.
+    turned = turned.where(F.col("_last").isNotNull() & ((F.to_date("_last") != F.to_date("bar_ts")) | F.hour("bar_ts").isin(*HOURS)))
+    turns = [r[0] for r in turned.select("_pos").orderBy("_pos").limit(12).collect()]
+    stamps = sorted({t for marks in (events or {}).values() for t in sorted(set(marks))[:8]})
+    upto = [F.count_if(F.col("bar_ts") <= F.lit(t).cast("timestamp_ntz")).alias(f"m{k}") for k, t in enumerate(stamps)]
+    marks = list(placed.agg(*upto).first()) if upto else []
+    chosen = choose_positions(n, turns, marks, mode=mode, seed=seed)
+    return [r[0] for r in placed.where(F.col("_pos").isin(chosen)).select("bar_ts").orderBy("bar_ts").collect()] if chosen else []
 
 
 def scenario_bars(bars: DataFrame, cutoffs: list) -> DataFrame:
@@ -124,11 +137,10 @@ def audit_causality(run: Callable[[DataFrame], dict[str, DataFrame]], bars: Data
     """Findings ``truncation_<stage>`` and ``future_mutation_<stage>`` (family causality). ``run``: bars -> stages, separately for each series."""
     spark = bars.sparkSession
     if cutoffs is None:
-        # Times only: one value a bar, and the strategy's events of the full run.
-        times = [r[0] for r in bars.select("bar_ts").distinct().orderBy("bar_ts").collect()]
+        # The strategy's first events of the full run.
         stages = run(bars)
         events = {s: [r[0] for r in f.select(time_column(f, s)).orderBy(time_column(f, s)).limit(8).collect()] for s, f in stages.items() if s != "features"}
-        cutoffs = generate_cutoffs(times, events, mode=mode, seed=seed)
+        cutoffs = generate_cutoffs(bars, events, mode=mode, seed=seed)
     if not cutoffs:
         return findings(spark, [("causality", "UNVERIFIED", "no cutoffs", None, "causality")])
     out = None

@@ -520,6 +520,5 @@ def static_scan(spark, d):
 
 @query()
 def cutoffs(spark, d):
-    b = bars(spark, d, "15 minutes")
-    times = [r[0] for r in b.select("bar_ts").orderBy("bar_ts").collect()]
-    return spark.createDataFrame([(k, t) for k, t in enumerate(C.generate_cutoffs(times, mode="strong"))], "cutoff int, bar_ts timestamp_ntz")
+    found = C.generate_cutoffs(bars(spark, d, "15 minutes"), mode="strong")
+    return spark.createDataFrame([(k, t) for k, t in enumerate(found)], "cutoff int, bar_ts timestamp_ntz")

@@ -243,6 +243,14 @@ def test_causality_catches_a_peek(spark):
     assert {r["status"] for r in C.audit_causality(peek, bars, cutoffs=cut).collect()} == {"FAIL"}
 
 
+def test_cutoffs(spark):
+    bars = make(spark, [(at(k), 1.0, 1.0, 1.0, 1.0) for k in range(600)])
+    got = C.generate_cutoffs(bars, {"trades": [at(300)]}, mode="strong")
+    assert len(got) == 28 and got == sorted(got) == C.generate_cutoffs(bars, {"trades": [at(300)]}, mode="strong") and len(C.generate_cutoffs(bars, mode="fast")) == 6
+    assert set(C.choose_positions(50, [7], [20])) >= {1, 2, 7, 10, 19, 20, 25, 49} or len(C.choose_positions(50, [7], [20])) == 28
+    assert C.generate_cutoffs(bars.limit(0)) == [] and C.generate_cutoffs(bars, explicit=[at(3), at(1), at(3)]) == [at(1), at(3)]
+
+
 def test_static_scan(spark):
     from barloom.operators.static_scan import scan_table, scan_text
 
