@@ -8,44 +8,73 @@ MANIFESTS = "manifest_id bigint, timezone_interpretation string, notes array<str
 ROWS = "id bigint, manifest_id bigint, seq bigint, timestamp string, _zone string"
 
 
+UTC = "naive, meant as UTC"
+SAME = "2020-03-04T05:06:07.000000Z"
+GRAMMAR = ["2020-03-04T05:06:07Z", "2020-03-04 05:06:07", " 2020-03-04t05:06:07z", "20200304 050607", "20200304T050607Z", "Mar 4, 2020 05:06:07", "04-Mar-2020 05:06:07 UTC", "Wed, 04 Mar 2020 05:06:07 +0000",
+           "2020-03-04T07:06:07+02:00", "2020-03-04 00:06:07 -0500", "2020-03-04T06:06:07+01:00[Europe/Berlin]", "04-Mar-2020 00:06:07 EST", "1583298367", "1583298367000", "1583298367000000", "1583298367000000000", "2020-03-04T05:06:07,000"]
+BAD = [None, "", "  ", "null", "24:61", "2021-02-30 10:15:00", "0000-00-00 00:00:00", "2022-13-04T08:00:00Z", "2020-06-31T12:00:00+00:00", "2020-01-01 25:00:00", "x" * 10_000, "12345", "1/2"]
+WALL = ["2020-11-01 00:59:00", "2020-11-01 01:00:00", "2020-11-01 01:59:00", "2020-11-01 01:00:00", "2020-11-01 01:59:00", "2020-11-01 02:00:00"]
+CHICAGO = "naive; America/Chicago"
+#: name: (zone text, notes, values); all are read in one call, each as a file of its own.
+CASES = {
+    "grammar": (UTC, [], GRAMMAR),
+    "precision": (UTC, [], ["2020-03-04T05:06:07.123456789Z", "1583298367123456789", "1583298367.1234567", "1583298367123"]),
+    "bad": (UTC, [], BAD),
+    "mdy": (UTC, ["month comes before day, twelve-hour clock"], ["03/04/2020 05:06:07 PM", "03/04/2020 12:06:07 AM"]),
+    "dmy": (UTC, ["dates are written day/month/year"], ["03/04/2020 05:06", "04/25/2020 05:06"]),
+    "evidence": (UTC, [], ["03/04/2020 05:06"] + [f"{d}/04/2020 05:06" for d in range(13, 30)]),
+    "unsure": (UTC, [], ["03/04/2020 05:06", "03/03/2020 00:00"]),
+    "york": ("wall clock of New York (US Eastern), daylight saving applied", [], ["2020-07-01 12:00:00"]),
+    "india": ("no zone recorded; UTC+05:30 all year", [], ["2020-07-01 12:00:00"]),
+    "none": (None, [], ["2020-07-01 12:00:00"]),
+    "gap": (CHICAGO, [], ["2020-03-08 02:30:00"]),
+    "fold": (CHICAGO, [], WALL),
+    "second": (CHICAGO, [], WALL[3:]),
+    "first": (CHICAGO, [], WALL[:2]),
+    "anchored": (CHICAGO + "; some values carry their own zone", [], ["2020-11-01 01:10:00", "2020-11-01T06:20:00Z", "2020-11-01 01:30:00"]),
+    "half_hour": ("naive; Australia/Lord_Howe", [], ["2020-04-05 01:40:00", "2020-04-05 01:50:00", "2020-04-05 01:40:00", "2020-04-05 02:00:00"]),
+}
+
+
 @pytest.fixture(scope="module")
 def read(spark):
-    def go(values, zone="naive, meant as UTC", notes=()):
-        m = spark.createDataFrame([(1, zone, list(notes), "clash")], MANIFESTS)
-        df = spark.createDataFrame([(k, 1, k, v, "clash") for k, v in enumerate(values)], ROWS)
-        out = normalise_timestamps(df, m, "timestamp", order_by="seq", row_id="id")
-        got = {r[0]: (r[1], r[2]) for r in out.select("id", utc_text(out["ts_utc"]), "status").collect()}
-        assert len(got) == len(values)
-        return [got[k] for k in range(len(values))]
-
-    return go
+    m = spark.createDataFrame([(k, zone, notes, "clash") for k, (zone, notes, _) in enumerate(CASES.values())], MANIFESTS)
+    rows = [(1_000 * k + n, k, n, v, "clash") for k, (_, _, values) in enumerate(CASES.values()) for n, v in enumerate(values)]
+    out = normalise_timestamps(spark.createDataFrame(rows, ROWS), m, "timestamp", order_by="seq", row_id="id")
+    got = {r[0]: (r[1], r[2]) for r in out.select("id", utc_text(out["ts_utc"]), "status").collect()}
+    assert set(got) == {r[0] for r in rows}
+    return lambda name: [got[1_000 * list(CASES).index(name) + n] for n in range(len(CASES[name][2]))]
 
 
-def test_grammar(read):
-    same = "2020-03-04T05:06:07.000000Z"
-    values = ["2020-03-04T05:06:07Z", "2020-03-04 05:06:07", " 2020-03-04t05:06:07z", "20200304 050607", "20200304T050607Z", "Mar 4, 2020 05:06:07", "04-Mar-2020 05:06:07 UTC", "Wed, 04 Mar 2020 05:06:07 +0000",
-              "2020-03-04T07:06:07+02:00", "2020-03-04 00:06:07 -0500", "2020-03-04T06:06:07+01:00[Europe/Berlin]", "04-Mar-2020 00:06:07 EST", "1583298367", "1583298367000", "1583298367000000", "1583298367000000000", "2020-03-04T05:06:07,000"]
-    assert [x[0] for x in read(values)] == [same] * len(values)
+def clock(found):
+    return [t[11:16] for t, _ in found]
 
 
-def test_precision_is_cut(read):
-    assert read(["2020-03-04T05:06:07.123456789Z", "1583298367123456789", "1583298367.1234567", "1583298367123"]) == [
-        ("2020-03-04T05:06:07.123456Z", "ok"), ("2020-03-04T05:06:07.123456Z", "ok"), ("2020-03-04T05:06:07.123456Z", "ok"), ("2020-03-04T05:06:07.123000Z", "ok")]
+def test_grammar_and_precision(read):
+    assert [x[0] for x in read("grammar")] == [SAME] * len(GRAMMAR)
+    assert [t[20:] for t, _ in read("precision")] == ["123456Z", "123456Z", "123456Z", "123000Z"]
 
 
 def test_unreadable(read):
-    bad = [None, "", "  ", "null", "24:61", "2021-02-30 10:15:00", "0000-00-00 00:00:00", "2022-13-04T08:00:00Z", "2020-06-31T12:00:00+00:00", "2020-01-01 25:00:00", "x" * 10_000, "12345", "1/2"]
-    assert all(t is None for t, _ in read(bad))
-    assert [s for _, s in read(bad)][:4] == ["missing", "missing", "missing", "unreadable"]
+    found = read("bad")
+    assert all(t is None for t, _ in found)
+    assert [s for _, s in found] == ["missing"] * 3 + ["unreadable"] * (len(BAD) - 3)
 
 
 def test_date_order_from_note_and_from_evidence(read):
-    assert read(["03/04/2020 05:06:07 PM"], notes=["month comes before day, twelve-hour clock"]) == [("2020-03-04T17:06:07.000000Z", "ok")]
-    assert read(["03/04/2020 05:06"], notes=["dates are written day/month/year"]) == [("2020-04-03T05:06:00.000000Z", "ok")]
-    by_evidence = read(["03/04/2020 05:06"] + [f"{d}/04/2020 05:06" for d in range(13, 30)])
-    assert by_evidence[0] == ("2020-04-03T05:06:00.000000Z", "ok")
-    assert read(["03/04/2020 05:06", "03/03/2020 00:00"])[0][1] == "ambiguous"
-    assert read(["04/25/2020 05:06"], notes=["day comes before month"])[0] == (None, "off_format")
+    assert read("mdy") == [("2020-03-04T17:06:07.000000Z", "ok"), ("2020-03-04T00:06:07.000000Z", "ok")]
+    assert read("dmy") == [("2020-04-03T05:06:00.000000Z", "ok"), (None, "off_format")]
+    assert read("evidence")[0] == ("2020-04-03T05:06:00.000000Z", "ok")
+    assert [s for _, s in read("unsure")] == ["ambiguous", "ok"]
+
+
+def test_zones_gaps_and_folds(read):
+    assert clock(read("york")) == ["16:00"] and clock(read("india")) == ["06:30"]
+    assert read("none") == [(None, "no_zone")] and read("gap") == [(None, "skipped")]
+    assert clock(read("fold")) == ["05:59", "06:00", "06:59", "07:00", "07:59", "08:00"]
+    assert clock(read("second")) == ["07:00", "07:59", "08:00"] and clock(read("first")) == ["05:59", "06:00"]
+    assert clock(read("anchored")) == ["06:10", "06:20", "06:30"]
+    assert clock(read("half_hour")) == ["14:40", "14:50", "15:10", "15:30"]
 
 
 def test_em_posterior_matches_fixed_point(spark):
@@ -58,19 +87,6 @@ def test_em_posterior_matches_fixed_point(spark):
     assert got == pytest.approx(w, abs=1e-4)
 
 
-def test_zones_gaps_and_folds(read):
-    assert read(["2020-07-01 12:00:00"], "wall clock of New York (US Eastern), daylight saving applied") == [("2020-07-01T16:00:00.000000Z", "ok")]
-    assert read(["2020-07-01 12:00:00"], "no zone recorded; UTC+05:30 all year") == [("2020-07-01T06:30:00.000000Z", "ok")]
-    assert read(["2020-07-01 12:00:00"], None) == [(None, "no_zone")]
-    assert read(["2020-03-08 02:30:00"], "naive; America/Chicago") == [(None, "skipped")]
-    wall = ["2020-11-01 00:59:00", "2020-11-01 01:00:00", "2020-11-01 01:59:00", "2020-11-01 01:00:00", "2020-11-01 01:59:00", "2020-11-01 02:00:00"]
-    assert [t[11:16] for t, _ in read(wall, "naive; America/Chicago")] == ["05:59", "06:00", "06:59", "07:00", "07:59", "08:00"]
-    assert [t[11:16] for t, _ in read(wall[3:], "naive; America/Chicago")] == ["07:00", "07:59", "08:00"]
-    assert [t[11:16] for t, _ in read(wall[:2], "naive; America/Chicago")] == ["05:59", "06:00"]
-    mixed = ["2020-11-01 01:10:00", "2020-11-01T06:20:00Z", "2020-11-01 01:30:00"]
-    assert [t[11:16] for t, _ in read(mixed, "naive; America/Chicago; some values carry their own zone")] == ["06:10", "06:20", "06:30"]
-
-
 def test_empty_and_repeated(spark):
     m = spark.createDataFrame([], MANIFESTS)
     df = spark.createDataFrame([], ROWS)
