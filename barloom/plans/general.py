@@ -96,5 +96,50 @@ def _p5_sql() -> str:
     return f"WITH {sides}, j AS (SELECT trade_id, a.r AS a, b.r AS b FROM a FULL JOIN b USING (trade_id)) " + " UNION ALL ".join(parts)
 
 
+def _p3_sql() -> str:
+    """The statement's cases over whole series: neighbouring closes are the levels before and after an excursion."""
+    off = lambda x, k, n: f"least(abs(lead({x}, {k}) OVER w - lag(close) OVER w), abs(lead({x}, {k}) OVER w - lead(close, {n}) OVER w))"
+    strays = lambda k, n: f"greatest({off('high', k, n)}, {off('low', k, n)}, {off('close', k, n)}) > 12 * u"
+    starts = ", ".join(f"coalesce({' AND '.join(strays(k, n) for k in range(n))}, false) AS e{n}" for n in (1, 2, 3))
+    member = " OR ".join(f"lag(e{n}, {k}, false) OVER w" for n in (1, 2, 3) for k in range(n))
+    return f"""
+WITH i AS (SELECT instrument_id, max(kind) AS kind, max(tick_size) AS tick FROM instruments GROUP BY 1),
+b AS (SELECT bars.*, kind, tick FROM bars LEFT JOIN i USING (instrument_id)),
+s AS (SELECT publisher_id, instrument_id, greatest(median(high - low), max(tick)) AS u FROM b GROUP BY 1, 2),
+d AS (SELECT DISTINCT publisher_id, instrument_id, seq_no, open, high, low, close, volume, u FROM b JOIN s USING (publisher_id, instrument_id)),
+e AS (SELECT *, {starts}, coalesce(open = lag(open) OVER w AND high = lag(high) OVER w AND low = lag(low) OVER w AND close = lag(close) OVER w
+    AND volume IS NOT DISTINCT FROM lag(volume) OVER w AND seq_no = lag(seq_no) OVER w + 1, false) AS same
+  FROM d WINDOW w AS (PARTITION BY publisher_id, instrument_id ORDER BY seq_no)),
+g AS (SELECT *, ({member}) AS stray, sum(CASE WHEN same THEN 0 ELSE 1 END) OVER w AS run FROM e WINDOW w AS (PARTITION BY publisher_id, instrument_id ORDER BY seq_no)),
+f AS (SELECT publisher_id, instrument_id, seq_no FROM g QUALIFY stray OR count(*) OVER (PARTITION BY publisher_id, instrument_id, run) >= 12)
+SELECT bar_id FROM b WHERE (kind = 'outright' AND least(open, high, low, close) <= 0) OR high < low OR open < low OR open > high OR close < low OR close > high
+UNION SELECT bar_id FROM b JOIN f USING (publisher_id, instrument_id, seq_no)"""
+
+
+def _p4_sql() -> str:
+    """Fields by pattern for each delimiter, and the typed rules on the first field that breaks one."""
+    full, parts = [], []
+    for d in (",", ";", "|", "\t"):
+        c = {"|": r"\|", "\t": r"\t"}.get(d, d)
+        field = f'"(?:[^"]|"")*"|[^"{c}][^{c}]*|'
+        name = "chr(9)" if d == "\t" else f"'{d}'"
+        full.append(f"WHEN {name} THEN regexp_full_match(t, '(?s)(?:{field})(?:{c}(?:{field}))*')")
+        parts.append(f"WHEN {name} THEN regexp_extract_all({name} || t, '(?s){c}({field})', 1)")
+    value = "trim(CASE WHEN starts_with(v, '\"') THEN replace(v[2:-2], '\"\"', '\"') ELSE v END, ' ' || chr(9))"
+    number = r"regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(isfinite(TRY_CAST(v AS DOUBLE)), false)"
+    whole = r"regexp_full_match(v, '[+]?[0-9]+|-0+') AND TRY_CAST(v AS BIGINT) IS NOT NULL"
+    time = r"regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}(T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z| ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])') AND left(v, 4) <> '0000' AND TRY_CAST(left(v, 10) AS DATE) IS NOT NULL"
+    return f"""
+WITH m AS (SELECT manifest_id, max(delimiter) AS d, json_keys(max(schema_json)::JSON) AS cols FROM manifests WHERE schema_json IS NOT NULL GROUP BY 1),
+r AS (SELECT line_id, d, cols, regexp_replace(line, chr(13) || '$', '') AS t FROM raw_lines JOIN m USING (manifest_id) WHERE line_no > 1),
+p AS (SELECT line_id, cols, CASE d {' '.join(full)} END AS fits, CASE d {' '.join(parts)} END AS f FROM r),
+x AS (SELECT line_id, unnest(cols) AS c, unnest(f) AS v, unnest(range(len(cols))) AS k FROM p WHERE fits AND len(f) = len(cols)),
+y AS (SELECT line_id, c, k, {value} AS v FROM x),
+z AS (SELECT line_id, min_by(c, k) AS field FROM y WHERE NOT CASE WHEN c IN ('open', 'high', 'low', 'close') THEN {number} WHEN c = 'volume' THEN {whole} WHEN c = 'timestamp' THEN {time} ELSE true END GROUP BY 1)
+SELECT line_id, 'quoting' AS reason, '' AS field FROM p WHERE NOT fits
+UNION ALL SELECT line_id, 'column_count', '' FROM p WHERE fits AND len(f) <> len(cols)
+UNION ALL SELECT line_id, 'bad_value', field FROM z"""
+
+
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found}
-ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p5_found": _p5_sql()}
+ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p3_found": _p3_sql(), "p4_found": _p4_sql(), "p5_found": _p5_sql()}

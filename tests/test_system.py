@@ -129,7 +129,7 @@ def test_entry_and_query_names(spark):
     assert "signal_time" in entry.entry(spark).columns
 
 
-SMALL = ["bars_ohlcv", "data_audit_counters", "ema60", "atr_asof", "p2_found", "p5_found"]
+SMALL = ["bars_ohlcv", "data_audit_counters", "ema60", "p2_found", "p3_found", "p4_found", "p5_found"]
 
 
 @pytest.mark.parametrize("name", SMALL)
