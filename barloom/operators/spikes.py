@@ -36,6 +36,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import partitions
+
 PRICES = ["open", "high", "low", "close"]
 
 
@@ -167,7 +169,8 @@ def implausible_bars(bars: DataFrame, instruments: DataFrame, params: SpikeParam
         return _block(pdf, p)
 
     schema = "_pub int, _ins bigint, _seq bigint, open double, high double, low double, close double, volume bigint, reason string"
-    flagged = spread.join(stats, ["_pub", "_ins"]).groupBy("_pub", "_ins", "_blk").applyInPandas(judge, schema)
+    spread = spread.join(stats, ["_pub", "_ins"]).repartition(partitions(bars.sparkSession), "_pub", "_ins", "_blk")
+    flagged = spread.groupBy("_pub", "_ins", "_blk").applyInPandas(judge, schema)
     # Back to every delivered copy: null-safe on the values, so each copy finds its own version.
     f = flagged.select(*[F.col(x).alias(f"f{x}") for x in ["_pub", "_ins", "_seq", *PRICES, "volume", "reason"]])
     match = (rows["_pub"] == F.col("f_pub")) & (rows["_ins"] == F.col("f_ins")) & (rows["_seq"] == F.col("f_seq"))

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barloom.session import cut_lineage
+from barloom.session import cut_lineage, spread
 
 # Month names and offsets (minutes) of zone abbreviations.
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
@@ -247,7 +247,7 @@ def normalise_timestamps(
     hints = source_hints(manifests, source)
     posteriors = date_order_posteriors(df, hints, column, source, params)
     settings = hints.join(posteriors, "_src", "left")
-    rows = df.select(F.col(row_id).alias("_id"), F.col(source).alias("_src"), F.col(order_by).cast("bigint").alias("_seq"), F.col(column).alias("_x"))
+    rows = spread(df.select(F.col(row_id).alias("_id"), F.col(source).alias("_src"), F.col(order_by).cast("bigint").alias("_seq"), F.col(column).alias("_x")))
     canonical = F.coalesce(
         F.col("_x").rlike(r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\dZ$") & F.substring("_x", 1, 10).try_cast("date").isNotNull() & (F.substring("_x", 1, 4) != "0000"),
         F.lit(False),

@@ -36,6 +36,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For stages that are heavy on CPU: an input of fewer splits than cores (a few small files) is spread over all cores; others pass unchanged. ``df`` must be a plain scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def partitions(spark: SparkSession) -> int:
+    """Partitions of a shuffle before a stage heavy on CPU, which size alone would coalesce to too few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cores}]")
