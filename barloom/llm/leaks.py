@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.wumanber import Letters, WuManber, packed
+from barloom.session import spread
 
 
 @dataclass(frozen=True)
@@ -282,7 +283,7 @@ def leaked_passages(documents: DataFrame, eval_items: DataFrame, params: LeakPar
     own = eval_items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     total = own.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-int(total) // params.max_item_letters))
-    pages = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    pages = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
     config = asdict(params)
     out = None
     for k in range(passes):

@@ -37,6 +37,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.session import spread
+
 WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
 BREAK = re.compile(r"[-=¬­] ?\r?\n")
 QUANTILES = (0.1, 0.25, 0.4, 0.5, 0.6, 0.75, 0.9)
@@ -175,4 +177,4 @@ def predict_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "band": pd.array([band_of(t, model) for t in pdf["text"]], dtype="Int32")})
 
-    return documents.select("doc_id", "text").mapInPandas(predict, "doc_id bigint, band int")
+    return spread(documents.select("doc_id", "text")).mapInPandas(predict, "doc_id bigint, band int")
