@@ -10,11 +10,12 @@ suffix-hash buckets, direct comparison; ``wumanber.py``). Blanks, case,
 accents, punctuation and line ends don't count, so broken and joined words
 match. Occurrences on one diagonal
 are merged to runs and valued by the information of their words; a page and
-item whose runs, in the order of both, carry enough go on to an exact check: short letter strings shared by page and item are grouped by line
-and diagonal, and runs of lines whose places in the item follow each other are
-chained, skipping foreign lines. The pair counts if the chain covers
-``min_words`` words of one stretch of the item and the information of the words
-there outweighs that of the words missing by ``min_balance`` nats.
+item whose runs, in the order of both, carry enough are aligned letter by
+letter: whole lines of the page may be skipped, so foreign columns and adverts
+between the passage's lines cost little. The pair counts if a stretch of
+``min_words`` words or more of the item stands there with at most
+``max_changed`` of them changed, dropped or added; a word with a third of its
+letters misread is unchanged.
 
 Scale: the held-out set is the query; its size is a checked bound
 (``max_item_letters``; beyond it items are searched in several passes of
@@ -51,15 +52,19 @@ class LeakParams:
     one_word: float = 8.0  # nats that chance agreement of one word carries
     back: int = 6
     seed_reach: int = 1_500  # letters of a page within which seeds support each other
-    k: int = 5  # letters of the exact check's strings
-    drift: int = 2  # change of diagonal within a line
     max_item_gap: int = 60
-    gap_cost: float = 0.9  # for each letter of the item that a chain skips
-    max_line_gap: int = 40
-    min_words: int = 15
-    min_share: float = 0.6
-    loss: float = 1.5  # weight of missing against covered information
-    min_balance: float = 66.0  # nats; twenty words carry well over 100
+    min_words: int = 20
+    max_changed: float = 1 / 6  # of a passage's words, changed, dropped or added
+    match: int = 3  # of the alignment: a letter that stands
+    miss: int = 2  # a letter misread, missing or added
+    jump: int = 6  # lines skipped
+    least_score: int = 70  # of an alignment worth judging; seventeen words of three letters carry 150 before faults
+    word_letters: float = 6.0  # of an added word
+    reach: int = 22  # words of the item to both sides of a run in which a passage of ``min_words`` is looked for
+    page_reach: int = 500  # letters of the page between runs aligned at once
+    page_letters: int = 3_000  # longer ranges are aligned in pieces of twice this, overlapping by half
+    item_letters: int = 1_000
+    together: int = 16  # alignments at once
     max_item_letters: int = 4_000_000  # of the query set in one pass
     batch_chars: int = 1_500_000
     stretch: int = 1_000_000
@@ -73,6 +78,7 @@ class Items:
         self.p, self.ids = p, ids
         L = self.letters = Letters(texts)
         starts = starts_all = np.flatnonzero(np.r_[True, L.word[1:] != L.word[:-1]]) if len(L.code) else np.zeros(0, np.int64)
+        self.starts = starts_all
         of = L.text_of(starts)
         fits = starts + p.m <= L.start[of + 1]
         starts, of = starts[fits], of[fits]
@@ -86,16 +92,6 @@ class Items:
         count = Counter(words)
         each = np.array([-np.log(count[w] / len(words)) / len(w) for w in words])
         self.information = np.r_[0.0, np.cumsum(np.repeat(each, ends - starts_all))] if words else np.zeros(1)
-        self.grams: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-    def gram_index(self, item: int) -> tuple[np.ndarray, np.ndarray]:
-        if item not in self.grams:
-            a, b = self.letters.start[item], self.letters.start[item + 1]
-            n = max(0, b - a - self.p.k + 1)
-            g = packed(self.letters.code, a + np.arange(n), self.p.k)
-            order = np.argsort(g, kind="stable")
-            self.grams[item] = g[order], order
-        return self.grams[item]
 
     def seeds(self, place: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every occurrence for every place of the pattern in the items: page place, item, item place."""
@@ -126,13 +122,13 @@ def _runs(letters: Letters, j: np.ndarray, item: np.ndarray, i: np.ndarray, item
 
 
 def _candidates(letters: Letters, j: np.ndarray, item: np.ndarray, i: np.ndarray, items: Items) -> np.ndarray:
-    """Rows (doc, item) whose runs, in the order of both page and item, carry ``min_information``."""
+    """Rows (doc, item, ranges of letters of both) around runs that, in the order of both page and item, carry ``min_information``."""
     p = items.p
     if not len(j):
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 6), np.int64)
     pair, j, i, worth = _runs(letters, j, item, i, items)
     if not len(pair):
-        return np.zeros((0, 2), np.int64)
+        return np.zeros((0, 6), np.int64)
     o = np.lexsort((i, j, pair))
     pair, j, i, best = pair[o], j[o], i[o], worth[o]
     start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
@@ -148,96 +144,169 @@ def _candidates(letters: Letters, j: np.ndarray, item: np.ndarray, i: np.ndarray
             ok = (dj > 0) & (di > 0) & (dj <= p.seed_reach) & (di <= 4 * p.max_item_gap) & (dj >= di - 20) & (dj <= 3 * di + 500)
             add = np.where(ok, np.maximum(add, best[u]), add)
         best[t] += add
-    good = np.maximum.reduceat(best, start) >= p.min_information
-    return np.stack([pair[start][good] >> 32, pair[start][good] & 0xFFFFFFFF], 1)
-
-
-def _check(page_grams: np.ndarray, page_line: np.ndarray, items: Items, item: int) -> tuple[int, float, float]:
-    """Words of the item covered in its best stretch on this page, the share of its information there, and the balance of what is there and what is missing."""
-    p = items.p
-    g, where = items.gram_index(item)
-    lo, hi = np.searchsorted(g, page_grams, "left"), np.searchsorted(g, page_grams, "right")
-    count = hi - lo
-    total = int(count.sum())
-    if not total:
-        return 0, 0.0, 0.0
-    j = np.repeat(np.arange(len(page_grams)), count)
-    i = where[np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)]
-    line, diag = page_line[j], i - j
-    order = np.lexsort((j, diag, line))
-    j, i, line, diag = j[order], i[order], line[order], diag[order]
-    new = np.r_[True, (line[1:] != line[:-1]) | (diag[1:] - diag[:-1] > p.drift)]
-    group = np.cumsum(new) - 1
-    size = np.bincount(group)
-    keep = size >= 4  # k + 3 letters in a row, or two shorter strings on one diagonal
-    if not keep.any():
-        return 0, 0.0, 0.0
-    starts = np.flatnonzero(new)
-    a = np.minimum.reduceat(i, starts)[keep]
-    b = np.maximum.reduceat(i, starts)[keep] + p.k
-    ja = np.minimum.reduceat(j, starts)[keep]
-    jb = np.maximum.reduceat(j, starts)[keep] + p.k
-    ln = line[starts][keep]
-    weight = np.minimum(size[keep] + p.k - 1, b - a).astype(float)
-    ids = np.flatnonzero(keep)
-    o = np.lexsort((a, ja))
-    a, b, ja, jb, ln, weight, ids = a[o], b[o], ja[o], jb[o], ln[o], weight[o], ids[o]
-    n = len(a)
-    best, back = weight.copy(), np.full(n, -1)
-    for t in range(1, n):
-        lo_t = max(0, t - 100)
-        s = slice(lo_t, t)
-        gap = a[t] - b[s]
-        overlap = np.maximum(0, -gap)
-        ok = (ln[t] - ln[s] <= p.max_line_gap) & (gap <= p.max_item_gap) & (overlap <= 8) & (b[t] > b[s]) & (a[t] > a[s]) & (ja[t] >= jb[s] - 8)
-        if ok.any():
-            v = np.where(ok, best[s] + weight[t] - overlap - p.gap_cost * np.maximum(gap, 0), -1.0)
-            x = int(v.argmax())
-            if v[x] > best[t]:
-                best[t], back[t] = v[x], lo_t + x
-    t = int(best.argmax())
-    chain = []
-    while t >= 0:
-        chain.append(t)
-        t = int(back[t])
-    used = np.zeros(len(size), bool)
-    used[ids[chain]] = True
-    base = items.letters.start[item]
-    length = items.letters.start[item + 1] - base
-    covered = np.zeros(length + p.k, bool)
-    on = i[used[group]]
-    for k in range(p.k):
-        covered[on + k] = True
-    x, y = int(a[chain].min()), int(b[chain].max())
-    word = items.letters.word[base : base + length]
-    word = word - word[0]
-    letters = np.bincount(word)
-    hit = np.bincount(word, covered[:length])
-    inside = np.unique(word[x:y])
-    full = hit[inside] >= 0.5 * letters[inside]
-    # Common words agree by chance on any page; each letter counts by its word's information.
-    each = np.diff(items.information[base : base + length + 1])[x:y]
-    there, whole = float(each[covered[x:y]].sum()), float(each.sum())
-    return int(full.sum()), there / max(whole, 1e-9), there - p.loss * (whole - there)
+    good = best >= p.min_information
+    pair, j, i = pair[good], j[good], i[good]
+    if not len(pair):
+        return np.zeros((0, 6), np.int64)
+    # A passage's twenty words lie around each run at which a chain carries enough; runs near each other share a window.
+    o = np.lexsort((j, pair))
+    pair, j, i = pair[o], j[o], i[o]
+    new = np.r_[True, (pair[1:] != pair[:-1]) | (j[1:] - j[:-1] > p.page_reach)]
+    first = np.flatnonzero(new)
+    doc, item = pair[first] >> 32, pair[first] & 0xFFFFFFFF
+    lo, size = letters.start[doc], items.letters.start[item + 1] - items.letters.start[item]
+    last = np.r_[first[1:], len(j)] - 1
+    own, base = items.starts, items.letters.start[item]
+    x = own[np.maximum(np.searchsorted(own, base + np.minimum.reduceat(i, first), "right") - 1 - p.reach, 0)] - base
+    y = own[np.minimum(np.searchsorted(own, base + np.maximum.reduceat(i, first), "right") + p.reach, len(own) - 1)] - base
+    x, y = np.maximum(x, 0), np.minimum(np.where(y + base == own[-1], size, y), size)
+    wide = np.maximum(2 * (y - x), p.page_reach) // 2 + 150  # every second line may be foreign, and an advert between
+    a, b = np.maximum(j[first] - lo - wide, 0), np.minimum(j[last] - lo + wide, letters.start[doc + 1] - lo)
+    return np.stack([doc, item, a, b, x, y], 1)
+
+
+def _paths(pages: list[np.ndarray], lines: list[np.ndarray], words: list[np.ndarray], wanted: list[np.ndarray], own: list[np.ndarray], p: LeakParams) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each page and item the best alignment of their letters: how many of the item's letters stand (1), are misread (2) or missing (0), and the page letters and words added after each."""
+    many, n, w = len(pages), max(map(len, wanted)), max(map(len, pages))
+    page, item = np.full((many, w), 200, np.uint8), np.full((many, n), 100, np.uint8)
+    # Between the ends of lines a path may skip whole lines: foreign columns and adverts.
+    ends = [np.flatnonzero(np.r_[True, x[1:] != x[:-1], True]) for x in lines]
+    end = np.zeros((many, max(map(len, ends))), np.int64)
+    for b in range(many):
+        page[b, : len(pages[b])], item[b, : len(wanted[b])] = pages[b], wanted[b]
+        end[b] = np.r_[ends[b], np.full(end.shape[1] - len(ends[b]), ends[b][-1])]
+    row = np.arange(many)[:, None]
+    like = np.empty((26, many, w), np.int16)
+    for c in range(26):
+        like[c] = np.where(page == c, p.match, -p.miss)
+    like = np.r_[like, np.full((1, many, w), -p.miss, np.int16)]
+    score = np.zeros((n + 1, many, w + 1), np.int16)
+    work = np.empty((many, w + 1), np.int16)
+    for i in range(n):
+        old, now = score[i], score[i + 1]
+        np.add(old[:, :-1], like[np.minimum(item[:, i], 26), row[:, 0]], out=now[:, 1:])
+        np.subtract(old, p.miss, out=work)
+        np.maximum(now, work, out=now)
+        np.maximum(now, 0, out=now)
+        for again in (False, True):  # letters may be added before and after a skip
+            for k in (1, 2, 4, 8):  # up to 15 at a time
+                np.subtract(now[:, :-k], p.miss * k, out=work[:, k:])
+                np.maximum(now[:, k:], work[:, k:], out=now[:, k:])
+            if not again:
+                v = now[row, end]
+                v[:, 1:] = np.maximum(v[:, 1:], np.maximum.accumulate(v, axis=1)[:, :-1] - p.jump)
+                now[row, end] = v
+    for b in range(many):
+        h, x, y = score[:, b], page[b], item[b]
+        state, added, more = np.zeros(len(wanted[b]), np.int8), np.zeros(len(wanted[b]) + 1, np.int64), np.zeros(len(wanted[b]) + 1, np.int64)
+        i, c = last = divmod(int(h.argmax()), w + 1)
+        seen = -1
+        if h[i, c] >= p.least_score:
+            at_end = set(ends[b].tolist())
+            while i > 0 and h[i, c] > 0:
+                v = int(h[i, c])
+                if c and v == h[i - 1, c - 1] + (p.match if x[c - 1] == y[i - 1] else -p.miss):
+                    state[i - 1] = 1 if x[c - 1] == y[i - 1] else 2
+                    i, c = i - 1, c - 1
+                elif v == h[i - 1, c] - p.miss:
+                    i -= 1
+                elif c and v == h[i, c - 1] - p.miss:
+                    added[i] += 1
+                    more[i] += words[b][c - 1] != seen
+                    seen = words[b][c - 1]
+                    c -= 1
+                else:
+                    before = ends[b][ends[b] < c] if c in at_end else ()
+                    from_ = [e for e in before if h[i, e] - p.jump == v]
+                    if not from_:
+                        break
+                    c = int(from_[-1])
+            # A short word after a changed one at an end doesn't pay for it in the alignment.
+            n_b, w_b = len(wanted[b]), len(pages[b])
+            _beyond(state, y[:n_b], own[b], x[:w_b], *last)
+            _beyond(state[::-1], y[:n_b][::-1], own[b][::-1], x[:w_b][::-1], n_b - i, w_b - c)
+        yield state, added, more
+
+
+def _beyond(state: np.ndarray, item: np.ndarray, word: np.ndarray, page: np.ndarray, i: int, c: int) -> None:
+    """Marks the words after the end of a path that stand behind one changed or dropped word."""
+    start = np.r_[np.flatnonzero(np.r_[True, word[1:] != word[:-1]]), len(word)]
+    k = int(np.searchsorted(start, i, "left"))
+    if k and start[k] > i and k + 1 < len(start) and (state[start[k - 1] : i] == 1).sum() * 2 > start[k] - start[k - 1]:
+        pass
+    elif start[k] != i:
+        k -= 1  # the path ends within a changed word
+    if k + 2 >= len(start):
+        return
+    text = page.tobytes()
+    for far in (2, 1):
+        end = min(k + 1 + far, len(start) - 1)
+        look = item[start[k + 1] : start[end]].tobytes()
+        at = text.find(look, c, c + int(start[k + 1] - start[k]) + 12 + len(look))
+        if len(look) > 1 and at >= 0:
+            state[start[k + 1] : start[end]] = 1
+            return
+
+
+def _stretch(state: np.ndarray, added: np.ndarray, more: np.ndarray, word: np.ndarray, p: LeakParams) -> tuple[int, float]:
+    """Words of the item's longest stretch that stands with at most ``max_changed`` of them changed, dropped or added, and the share that stands; 0 words if there is none of ``min_words``."""
+    start = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+    size = np.diff(np.r_[start, len(word)])
+    wrong = np.add.reduceat((state != 1).astype(np.int64), start)
+    missing = np.add.reduceat((state == 0).astype(np.int64), start)
+    last = start + size - 1
+    inner = added[1:].copy()
+    inner[last] = 0
+    # Letters added at one place within a word are a word that was added before its last letters.
+    most = np.maximum.reduceat(inner, start)
+    spread_ = np.add.reduceat(inner, start) - most
+    # Scan faults may take a third of a word's letters; of a word of one or two letters one, if its neighbours stand.
+    same = wrong + spread_ <= size // 3
+    beside = np.r_[False, same[:-1]] & np.r_[same[1:], False]
+    same |= beside & (size < 3) & (wrong == 1) & (missing == 0)
+    between = np.where(most > 2, most, 0) + added[1:][last]
+    extra = np.where(same, np.minimum(np.ceil((between - 2) / p.word_letters).clip(0), np.add.reduceat(more[1:], start)), 0)
+    extra = np.where(np.r_[same[1:], False], extra, 0)
+    fault = np.r_[0.0, np.cumsum(~same + extra)]
+    n = len(size)
+    x, y = np.triu_indices(n + 1, p.min_words)
+    # Words added after the stretch's last word don't count to it.
+    faults = fault[y] - fault[x] - np.r_[0.0, extra][y]
+    ok = faults <= p.max_changed * (y - x) + 1e-9
+    if not ok.any():
+        return 0, 0.0
+    x, y = x[ok], y[ok]
+    best = int((y - x).argmax())
+    x, y = x[best], y[best]
+    return int(y - x), float(same[x:y].mean())
+
+
+def _windows(rows: np.ndarray, p: LeakParams) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """The ranges to be aligned, long ones in pieces that overlap by half."""
+    cut = lambda a, b, size: [(a, b)] if b - a <= 2 * size else [(k, min(k + 2 * size, b)) for k in range(a, b - size, size)]
+    for d, it, a, b, x, y in rows.tolist():
+        yield from ((d, it, *u, *v) for u in cut(a, b, p.page_letters) for v in cut(x, y, p.item_letters))
 
 
 def find_in_texts(texts: list[str | None], items: Items) -> list[tuple[int, int, int, float]]:
     """Rows (text, item, words, share) of all found pairs."""
-    p = items.p
+    p, own = items.p, items.letters
     L = Letters(texts)
     place, value = items.finder.search(L.code)
-    pairs = _candidates(L, *items.seeds(place, value), items)
-    out = []
-    last, grams, lines = -1, None, None
-    for d, it in pairs:
-        if d != last:
-            x, y = L.start[d], L.start[d + 1]
-            n = max(0, y - x - p.k + 1)
-            grams, lines, last = packed(L.code, x + np.arange(n), p.k), L.line[x : x + n], d
-        words, share, balance = _check(grams, lines, items, int(it))
-        if words >= p.min_words and share >= p.min_share and balance >= p.min_balance:
-            out.append((int(d), int(it), words, share))
-    return out
+    tasks = sorted(_windows(_candidates(L, *items.seeds(place, value), items), p), key=lambda t: ((t[5] - t[4]) // 64, t[3] - t[2]))
+    out: dict[tuple[int, int], tuple[int, float]] = {}
+    while tasks:  # ranges of like length together
+        wide = max(t[3] - t[2] for t in tasks[-p.together :]) * (tasks[-1][5] - tasks[-1][4])
+        some = [tasks.pop() for _ in range(min(len(tasks), max(1, min(p.together, 20_000_000 // max(1, wide)))))]
+        pages = [slice(L.start[d] + a, L.start[d] + b) for d, _, a, b, _, _ in some]
+        wanted = [slice(own.start[it] + x, own.start[it] + y) for _, it, _, _, x, y in some]
+        paths = _paths([L.code[s] for s in pages], [L.line[s] for s in pages], [L.word[s] for s in pages], [own.code[s] for s in wanted], [own.word[s] for s in wanted], p)
+        for (d, it, *_), s, (state, added, more) in zip(some, wanted, paths):
+            if state.any():
+                words, share = _stretch(state, added, more, own.word[s], p)
+                if words:
+                    out[d, it] = max(out.get((d, it), (0, 0.0)), (words, share))
+    return [(d, it, *v) for (d, it), v in sorted(out.items())]
 
 
 _prepared: dict[tuple, Items] = {}
