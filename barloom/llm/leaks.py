@@ -50,6 +50,7 @@ class LeakParams:
     bits: int = 22
     min_information: float = 20.0  # nats of a pair's chained seeds; a passage of 20 words carries over 100 before faults
     one_word: float = 8.0  # nats that chance agreement of one word carries
+    least_text: int = 24_000  # words
     back: int = 6
     seed_reach: int = 1_500  # letters of a page within which seeds support each other
     max_item_gap: int = 60
@@ -90,7 +91,8 @@ class Items:
         ends = np.r_[starts_all[1:], len(L.code)] if len(starts_all) else starts_all
         words = [L.code[a:b].tobytes() for a, b in zip(starts_all, ends)]
         count = Counter(words)
-        each = np.array([-np.log(count[w] / len(words)) / len(w) for w in words])
+        # A small set counts as part of a longer text, so that a word of it isn't taken for a common one.
+        each = np.array([-np.log(count[w] / max(len(words), p.least_text)) / len(w) for w in words])
         self.information = np.r_[0.0, np.cumsum(np.repeat(each, ends - starts_all))] if words else np.zeros(1)
 
     def seeds(self, place: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -349,7 +351,7 @@ def _search(batches: Iterator[pd.DataFrame], ids: list, texts: list, config: dic
 
 def leaked_passages(documents: DataFrame, eval_items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """Columns ``doc_id``, ``item_id``, ``words`` (of the item, covered on the page), ``share`` (of that stretch of the item)."""
-    own = eval_items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    own = eval_items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
     total = own.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = max(1, -(-int(total) // params.max_item_letters))
     pages = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))

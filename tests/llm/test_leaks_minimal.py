@@ -35,3 +35,12 @@ def test_short_phrases_are_no_case():
     assert not found(texts, items)
     texts, _ = planted(items, 80, 24, 8, False, 0.0, 9)
     assert not found(texts, items)
+
+
+def test_one_item_is_found_as_among_many():
+    items = prose_items(1)
+    texts, want = planted(items, 80, 20, 3, False, 0.01, 5)
+    got = found(texts, items)
+    assert len(got & want) >= 0.85 * len(want)
+    short = " ".join(sorted({w for w in items[0].split() if len(w) > 3})[:20])
+    assert found([short], [short]) == {(0, 0)}
