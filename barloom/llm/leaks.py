@@ -48,8 +48,10 @@ class LeakParams:
     m: int = 12
     block: int = 6
     bits: int = 22
-    min_information: float = 20.0  # nats of a pair's chained seeds; a passage of 20 words carries over 100 before faults
-    one_word: float = 8.0  # nats that chance agreement of one word carries
+    min_information: float = 28.0  # nats of a pair's chained runs; a passage of 20 words carries over 100 before faults
+    k: int = 6  # letters of the strings that cover an item before it is aligned
+    min_cover: float = 0.55  # of the letters of some ``min_words`` words of the item
+    least_run: float = 8.0  # nats of a run that is kept; chance agreement of one word carries about as many
     least_text: int = 24_000  # words
     back: int = 6
     seed_reach: int = 1_500  # letters of a page within which seeds support each other
@@ -80,6 +82,7 @@ class Items:
         L = self.letters = Letters(texts)
         starts = starts_all = np.flatnonzero(np.r_[True, L.word[1:] != L.word[:-1]]) if len(L.code) else np.zeros(0, np.int64)
         self.starts = starts_all
+        self.grams = packed(L.code, np.arange(max(0, len(L.code) - p.k + 1)), p.k)
         of = L.text_of(starts)
         fits = starts + p.m <= L.start[of + 1]
         starts, of = starts[fits], of[fits]
@@ -118,8 +121,8 @@ def _runs(letters: Letters, j: np.ndarray, item: np.ndarray, i: np.ndarray, item
     a = base + i[start]
     doc = letters.text_of(j0)
     b = np.minimum(a + np.minimum(j[last] + p.m, letters.start[doc + 1]) - j0, items.letters.start[item + 1])
-    worth = items.information[b] - items.information[a] - p.one_word
-    good = (worth > 0) & (b - a >= p.m)
+    worth = items.information[b] - items.information[a]
+    good = (worth > p.least_run) & (b - a >= p.m)
     return (doc.astype(np.int64) << 32 | item)[good], j0[good], i[start][good], worth[good]
 
 
@@ -290,12 +293,30 @@ def _windows(rows: np.ndarray, p: LeakParams) -> Iterator[tuple[int, int, int, i
         yield from ((d, it, *u, *v) for u in cut(a, b, p.page_letters) for v in cut(x, y, p.item_letters))
 
 
+def _covered(window: tuple[int, int, int, int, int, int], L: Letters, grams: np.ndarray, items: Items) -> bool:
+    """Whether strings of ``k`` letters of the page, in any order, cover enough of ``min_words`` words of the item for an alignment to be worth it."""
+    d, it, a, b, x, y = window
+    p, lo, base = items.p, L.start[d], items.letters.start[it]
+    own = items.grams[base + x : max(base + x, base + y - p.k + 1)]
+    here = np.r_[0, np.cumsum(np.isin(own, grams[lo + a : max(lo + a, lo + b - p.k + 1)]))]
+    at = np.arange(y - x)
+    cover = np.r_[0, np.cumsum(here[np.minimum(at + 1, len(own))] > here[np.clip(at - p.k + 1, 0, len(own))])]
+    s = items.starts
+    edge = np.r_[s[np.searchsorted(s, base + x) : np.searchsorted(s, base + y)], base + y] - base - x
+    if len(edge) <= p.min_words:
+        return False
+    u, v = edge[: -p.min_words], edge[p.min_words :]
+    return bool(((cover[v] - cover[u]) >= p.min_cover * (v - u)).any())
+
+
 def find_in_texts(texts: list[str | None], items: Items) -> list[tuple[int, int, int, float]]:
     """Rows (text, item, words, share) of all found pairs."""
     p, own = items.p, items.letters
     L = Letters(texts)
     place, value = items.finder.search(L.code)
-    tasks = sorted(_windows(_candidates(L, *items.seeds(place, value), items), p), key=lambda t: ((t[5] - t[4]) // 64, t[3] - t[2]))
+    grams = packed(L.code, np.arange(max(0, len(L.code) - p.k + 1)), p.k)
+    tasks = [t for t in _windows(_candidates(L, *items.seeds(place, value), items), p) if _covered(t, L, grams, items)]
+    tasks.sort(key=lambda t: ((t[5] - t[4]) // 64, t[3] - t[2]))
     out: dict[tuple[int, int], tuple[int, float]] = {}
     while tasks:  # ranges of like length together
         wide = max(t[3] - t[2] for t in tasks[-p.together :]) * (tasks[-1][5] - tasks[-1][4])

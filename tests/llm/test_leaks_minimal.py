@@ -4,7 +4,8 @@ import random
 
 import numpy as np
 
-from barloom.llm.leaks import Items, LeakParams, find_in_texts
+from barloom.llm.leaks import Items, LeakParams, _candidates, find_in_texts
+from barloom.llm.wumanber import Letters
 from tests_leaks_help import page, prose_items
 
 
@@ -44,3 +45,12 @@ def test_one_item_is_found_as_among_many():
     assert len(got & want) >= 0.85 * len(want)
     short = " ".join(sorted({w for w in items[0].split() if len(w) > 3})[:20])
     assert found([short], [short]) == {(0, 0)}
+
+
+def test_filter_keeps_passages_in_columns_read_across():
+    texts_of = prose_items(400)
+    texts, want = planted(texts_of, 200, 20, 3, True, 0.025, 12)
+    items, L = Items(np.arange(400), texts_of, LeakParams()), Letters(texts)
+    rows = _candidates(L, *items.seeds(*items.finder.search(L.code)), items)
+    kept = {tuple(r) for r in rows[:, :2].tolist()}
+    assert len(kept & want) >= 0.9 * len(want)
