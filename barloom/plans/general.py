@@ -68,7 +68,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p4_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The records that load, typed."""
-    return accepted(load_records(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "manifests")))
+    return accepted(load_records(table(spark, sf_dir, "raw_lines"), table(spark, sf_dir, "manifests"))).drop("extra")
 
 
 P5_FIELDS = ["exit_price", "gross_R", "net_R", "exit_reason", "exit_time"]
@@ -116,7 +116,7 @@ SELECT bar_id FROM b WHERE (kind = 'outright' AND least(open, high, low, close)
 UNION SELECT bar_id FROM b JOIN f USING (publisher_id, instrument_id, seq_no)"""
 
 
-def _p4_sql() -> str:
+def _p4_sql(loaded: bool) -> str:
     """Fields by pattern for each delimiter, and the typed rules on the first field that breaks one."""
     full, parts = [], []
     for d in (",", ";", "|", "\t"):
@@ -125,21 +125,26 @@ def _p4_sql() -> str:
         name = "chr(9)" if d == "\t" else f"'{d}'"
         full.append(f"WHEN {name} THEN regexp_full_match(t, '(?s)(?:{field})(?:{c}(?:{field}))*')")
         parts.append(f"WHEN {name} THEN regexp_extract_all({name} || t, '(?s){c}({field})', 1)")
-    value = "trim(CASE WHEN starts_with(v, '\"') THEN replace(v[2:-2], '\"\"', '\"') ELSE v END, ' ' || chr(9))"
+    unquoted = "CASE WHEN starts_with(v, '\"') THEN replace(v[2:-2], '\"\"', '\"') ELSE v END"
     number = r"regexp_full_match(v, '[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?') AND coalesce(isfinite(TRY_CAST(v AS DOUBLE)), false)"
     whole = r"regexp_full_match(v, '[+]?[0-9]+|-0+') AND TRY_CAST(v AS BIGINT) IS NOT NULL"
     time = r"regexp_full_match(v, '[0-9]{4}-[0-9]{2}-[0-9]{2}(T([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]Z| ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9])') AND left(v, 4) <> '0000' AND TRY_CAST(left(v, 10) AS DATE) IS NOT NULL"
-    return f"""
+    read = f"""
 WITH m AS (SELECT manifest_id, max(delimiter) AS d, json_keys(max(schema_json)::JSON) AS cols FROM manifests WHERE schema_json IS NOT NULL GROUP BY 1),
-r AS (SELECT line_id, d, cols, regexp_replace(line, chr(13) || '$', '') AS t FROM raw_lines JOIN m USING (manifest_id) WHERE line_no > 1),
-p AS (SELECT line_id, cols, CASE d {' '.join(full)} END AS fits, CASE d {' '.join(parts)} END AS f FROM r),
-x AS (SELECT line_id, unnest(cols) AS c, unnest(f) AS v, unnest(range(len(cols))) AS k FROM p WHERE fits AND len(f) = len(cols)),
-y AS (SELECT line_id, c, k, {value} AS v FROM x),
-z AS (SELECT line_id, min_by(c, k) AS field FROM y WHERE NOT CASE WHEN c IN ('open', 'high', 'low', 'close') THEN {number} WHEN c = 'volume' THEN {whole} WHEN c = 'timestamp' THEN {time} ELSE true END GROUP BY 1)
+r AS (SELECT line_id, manifest_id, line_no, d, cols, regexp_replace(line, chr(13) || '$', '') AS t FROM raw_lines JOIN m USING (manifest_id) WHERE line_no > 1),
+p AS (SELECT *, CASE d {' '.join(full)} END AS fits, CASE d {' '.join(parts)} END AS f FROM r),
+x AS (SELECT line_id, manifest_id, line_no, unnest(cols) AS c, unnest(f) AS v, unnest(range(len(cols))) AS k FROM p WHERE fits AND len(f) = len(cols)),
+y AS (SELECT * EXCLUDE (v), u, trim(u, ' ' || chr(9)) AS v FROM (SELECT *, {unquoted} AS u FROM x)),
+b AS (SELECT *, NOT CASE WHEN c IN ('open', 'high', 'low', 'close') THEN {number} WHEN c = 'volume' THEN {whole} WHEN c = 'timestamp' THEN {time} ELSE true END AS bad FROM y)"""
+    if loaded:
+        doubles = ", ".join(f"TRY_CAST(max(v) FILTER (c = '{c}') AS DOUBLE) AS {c}" for c in ("open", "high", "low", "close"))
+        return f"""{read} SELECT line_id, any_value(manifest_id) AS manifest_id, any_value(line_no) AS line_no, TRY_CAST(max(left(v, 10) || ' ' || substr(v, 12, 8)) FILTER (c = 'timestamp') AS TIMESTAMP) AS "timestamp",
+  max(u) FILTER (c = 'symbol') AS symbol, {doubles}, TRY_CAST(max(v) FILTER (c = 'volume') AS BIGINT) AS volume, max(u) FILTER (c = 'note') AS note FROM b GROUP BY line_id HAVING NOT bool_or(bad)"""
+    return f"""{read}, z AS (SELECT line_id, min_by(c, k) AS field FROM b WHERE bad GROUP BY 1)
 SELECT line_id, 'quoting' AS reason, '' AS field FROM p WHERE NOT fits
 UNION ALL SELECT line_id, 'column_count', '' FROM p WHERE fits AND len(f) <> len(cols)
 UNION ALL SELECT line_id, 'bad_value', field FROM z"""
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_loaded": p4_loaded, "p5_found": p5_found}
-ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p3_found": _p3_sql(), "p4_found": _p4_sql(), "p5_found": _p5_sql()}
+ORACLES: dict[str, str] = {"p2_found": P2_SQL, "p3_found": _p3_sql(), "p4_found": _p4_sql(False), "p4_loaded": _p4_sql(True), "p5_found": _p5_sql()}
