@@ -72,3 +72,41 @@ def test_negative_spread_copies_and_nulls(spark):
 
 def test_empty(spark):
     assert found(spark, []) == {}
+
+
+def test_phi_belongs_to_the_source_and_decides(spark):
+    """In a series with momentum the prediction moves on: a bar 9.5 scales off the last close is 10 off the prediction."""
+    n = 2_000
+    rng = np.random.default_rng(4)
+    step = np.zeros(n)
+    for k in range(1, n):
+        step[k] = 0.8 * step[k - 1] + rng.normal(0, 0.4)
+    close = 500 + np.cumsum(step)
+    rows = series(n)
+    for k, r in enumerate(rows):
+        r[4:8] = [float(close[k]), float(close[k] + 0.5), float(close[k] - 0.5), float(close[k])]
+    at = next(k for k in range(100, n - 100) if min(step[k - 1 : k + 3]) > 0.75 and max(step[k - 1 : k + 3]) < 1.2)
+    # Falls away from a rising line, and the line goes on.
+    for col in range(4, 8):
+        rows[at][col] = float(min(close[at - 1], close[at + 1]) - 9.6)
+    with_phi, without = found(spark, rows), found(spark, rows, SpikeParams(max_phi=0.0))
+    assert at in with_phi.get("spike", set()) and at not in without.get("spike", set())
+    assert found(spark, rows, SpikeParams(block=128)) == with_phi
+
+
+def test_tests_are_repeated_until_nothing_changes(spark):
+    """A good bar between two spikes of one level is taken for an excursion at first, and cleared once they are known."""
+    rows = series(300, 6)
+    for k in (100, 102, 104, 106, 108, 110):
+        move(rows[k], 40)
+    assert found(spark, rows) == {"spike": {100, 102, 104, 106, 108, 110}}
+
+
+def test_four_bars_are_no_excursion(spark):
+    rows = series(300, 7)
+    for k in (100, 101, 102, 103):
+        move(rows[k], 40)
+    move(rows[105], -30)
+    for k in range(200, 300):
+        move(rows[k], -30)
+    assert found(spark, rows) == {"spike": {105}}
