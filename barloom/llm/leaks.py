@@ -9,10 +9,14 @@ in the letters of all pages by Wu-Manber multi-pattern search (shift table,
 suffix-hash buckets, direct comparison; ``wumanber.py``). Blanks, case,
 accents, punctuation and line ends don't count, so broken and joined words
 match. Occurrences on one diagonal
-are merged to runs and valued by the information of their words; a page and
-item whose runs, in the order of both, carry enough are aligned letter by
-letter: whole lines of the page may be skipped, so foreign columns and adverts
-between the passage's lines cost little. The pair counts if a stretch of
+are merged to runs and valued by the information of their words. A page and
+item of which a chain of runs, in the order of both, carries enough are looked
+at around all their runs, wherever these stand on the page. If strings of ``k``
+letters, again in the order of both, cover enough of ``min_words`` words, the
+page's letters around them are aligned letter by letter with the item: whole
+lines of the page may be skipped, and lines without any such string are left
+out, so foreign columns and adverts between the passage's lines cost little,
+however long they are. The pair counts if a stretch of
 ``min_words`` words or more of the item stands there with at most
 ``max_changed`` of them changed, dropped or added; a word with a third of its
 letters misread is unchanged.
@@ -20,8 +24,9 @@ letters misread is unchanged.
 Scale: the held-out set is the query; its size is a checked bound
 (``max_item_letters``; beyond it items are searched in several passes of
 bounded size). Pages stream once through ``mapInPandas``, nothing is shuffled
-but the found pairs. Texts longer than ``stretch`` are searched in
-overlapping stretches by the same code.
+but the found pairs. Words weigh by their frequency in the whole set, and one
+text given by several items is searched once. Texts longer than ``stretch`` are
+searched in overlapping stretches by the same code.
 
 Defined results: null and blank texts match nothing; items of fewer words than
 ``min_words`` can't be found; repeated pages each give their pairs, repeated
@@ -30,6 +35,7 @@ item ids act as one item with several texts.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
@@ -40,7 +46,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.wumanber import Letters, WuManber, packed
-from barloom.session import spread
+from barloom.session import spread, written
 
 
 @dataclass(frozen=True)
@@ -50,11 +56,12 @@ class LeakParams:
     bits: int = 22
     min_information: float = 28.0  # nats of a pair's chained runs; a passage of 20 words carries over 100 before faults
     k: int = 6  # letters of the strings that cover an item before it is aligned
-    min_cover: float = 0.55  # of the letters of some ``min_words`` words of the item
+    min_cover: float = 0.6  # of the letters of some ``min_words`` words of the item
+    beyond: int = 10  # words of the item to both sides of such words that are aligned
     least_run: float = 8.0  # nats of a run that is kept; chance agreement of one word carries about as many
     least_text: int = 24_000  # words
-    back: int = 6
-    seed_reach: int = 1_500  # letters of a page within which seeds support each other
+    side_run: float = 14.0  # nats of a run that counts wherever it stands on the page, once a chain carries ``min_information``
+    seed_reach: int = 1_500  # letters of a page within which runs support each other towards ``min_information``
     max_item_gap: int = 60
     min_words: int = 20
     max_changed: float = 1 / 6  # of a passage's words, changed, dropped or added
@@ -65,10 +72,11 @@ class LeakParams:
     word_letters: float = 6.0  # of an added word
     reach: int = 22  # words of the item to both sides of a run in which a passage of ``min_words`` is looked for
     page_reach: int = 500  # letters of the page between runs aligned at once
+    margin: int = 250  # letters of the page on both sides of matching strings that are aligned
     page_letters: int = 3_000  # longer ranges are aligned in pieces of twice this, overlapping by half
     item_letters: int = 1_000
     together: int = 16  # alignments at once
-    max_item_letters: int = 4_000_000  # of the query set in one pass
+    max_item_letters: int = 16_000_000  # of the query set in one pass; sent to the workers, so this is its bound
     batch_chars: int = 1_500_000
     stretch: int = 1_000_000
     overlap: int = 20_000
@@ -77,8 +85,10 @@ class LeakParams:
 class Items:
     """The held-out set prepared for search and check."""
 
-    def __init__(self, ids: np.ndarray, texts: list[str | None], p: LeakParams):
-        self.p, self.ids = p, ids
+    def __init__(self, texts: list[str | None], p: LeakParams, counts: dict[bytes, int] | None = None, total: int = 0):
+        """``counts``, ``total``: words of the whole held-out set, where the texts are a part of it."""
+        self.p = p
+        self._sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         L = self.letters = Letters(texts)
         starts = starts_all = np.flatnonzero(np.r_[True, L.word[1:] != L.word[:-1]]) if len(L.code) else np.zeros(0, np.int64)
         self.starts = starts_all
@@ -92,12 +102,21 @@ class Items:
         self.values, self.at, self.of = values[order], (starts - L.start[of])[order], of[order]
         # Information of each letter: that of its word among all words of the items, spread over the word.
         ends = np.r_[starts_all[1:], len(L.code)] if len(starts_all) else starts_all
-        words = [L.code[a:b].tobytes() for a, b in zip(starts_all, ends)]
-        count = Counter(words)
+        words = L.words()
+        count = counts or Counter(words)
         # A small set counts as part of a longer text, so that a word of it isn't taken for a common one.
-        each = np.array([-np.log(count[w] / max(len(words), p.least_text)) / len(w) for w in words])
+        each = np.array([-np.log(count[w] / max(total or len(words), p.least_text)) / len(w) for w in words])
         self.information = np.r_[0.0, np.cumsum(np.repeat(each, ends - starts_all))] if words else np.zeros(1)
 
+    def sorted_grams(self, item: int) -> tuple[np.ndarray, np.ndarray]:
+        """Strings of ``k`` letters of an item in their order, with their places."""
+        if item not in self._sorted:
+            a, b = self.letters.start[item : item + 2]
+            own = self.grams[a : max(a, b - self.p.k + 1)]
+            order = np.argsort(own, kind="stable")
+            self._sorted[item] = own[order], order
+        return self._sorted[item]
+
     def seeds(self, place: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Every occurrence for every place of the pattern in the items: page place, item, item place."""
         lo, hi = np.searchsorted(self.values, value, "left"), np.searchsorted(self.values, value, "right")
@@ -126,36 +145,52 @@ def _runs(letters: Letters, j: np.ndarray, item: np.ndarray, i: np.ndarray, item
     return (doc.astype(np.int64) << 32 | item)[good], j0[good], i[start][good], worth[good]
 
 
+def _chained(pair: np.ndarray, j: np.ndarray, i: np.ndarray, worth: np.ndarray, p: LeakParams) -> np.ndarray:
+    """For runs in the order of pair and page: the most information of a chain that ends with the run, in the order of both page and item, over all runs within ``seed_reach``."""
+    best = worth.copy()
+    start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
+    size = np.diff(np.r_[start, len(pair)])
+
+    def add(t: np.ndarray | int, u: np.ndarray | slice) -> np.ndarray:
+        dj, di = j[t] - j[u], i[t] - i[u]
+        ok = (dj > 0) & (di > 0) & (dj <= p.seed_reach) & (di <= 4 * p.max_item_gap) & (dj >= di - 20) & (dj <= 3 * di + 500)
+        return np.where(ok, best[u], 0.0)
+
+    few = size <= 32
+    order = np.flatnonzero(few)[np.argsort(-size[few], kind="stable")]
+    s, z = start[order], size[order]
+    for r in range(1, int(z[0]) if len(z) else 0):  # the r-th run of all pairs at once
+        t = s[: np.searchsorted(-z, -r, side="left")] + r
+        more = np.zeros(len(t))
+        for back in range(1, r + 1):
+            more = np.maximum(more, add(t, t - back))
+        best[t] += more
+    for a, n in zip(start[~few], size[~few]):
+        first = a + np.searchsorted(j[a : a + n], j[a : a + n] - p.seed_reach)
+        for t in range(a + 1, a + n):
+            if first[t - a] < t:
+                best[t] += add(t, slice(first[t - a], t)).max()
+    return best
+
+
 def _candidates(letters: Letters, j: np.ndarray, item: np.ndarray, i: np.ndarray, items: Items) -> np.ndarray:
-    """Rows (doc, item, ranges of letters of both) around runs that, in the order of both page and item, carry ``min_information``."""
+    """Rows (doc, item, ranges of letters of both) around the runs of pairs of which a chain carries ``min_information``."""
     p = items.p
+    none = np.zeros((0, 6), np.int64)
     if not len(j):
-        return np.zeros((0, 6), np.int64)
+        return none
     pair, j, i, worth = _runs(letters, j, item, i, items)
     if not len(pair):
-        return np.zeros((0, 6), np.int64)
+        return none
     o = np.lexsort((i, j, pair))
-    pair, j, i, best = pair[o], j[o], i[o], worth[o]
-    start = np.flatnonzero(np.r_[True, pair[1:] != pair[:-1]])
-    size = np.diff(np.r_[start, len(pair)])
-    order = np.argsort(-size, kind="stable")
-    s, z = start[order], size[order]
-    for r in range(1, int(size.max())):  # the r-th run of all pairs at once
-        t = s[: np.searchsorted(-z, -r, side="left")] + r
-        add = np.zeros(len(t))
-        for back in range(1, min(p.back, r) + 1):
-            u = t - back
-            dj, di = j[t] - j[u], i[t] - i[u]
-            ok = (dj > 0) & (di > 0) & (dj <= p.seed_reach) & (di <= 4 * p.max_item_gap) & (dj >= di - 20) & (dj <= 3 * di + 500)
-            add = np.where(ok, np.maximum(add, best[u]), add)
-        best[t] += add
-    good = best >= p.min_information
+    pair, j, i, worth = pair[o], j[o], i[o], worth[o]
+    core = _chained(pair, j, i, worth, p) >= p.min_information
+    # Of a pair with such a chain all other sound runs count too, however far away on the page: lines between parts of a passage are no limit.
+    good = core | (np.isin(pair, pair[core]) & (worth >= p.side_run))
     pair, j, i = pair[good], j[good], i[good]
     if not len(pair):
-        return np.zeros((0, 6), np.int64)
-    # A passage's twenty words lie around each run at which a chain carries enough; runs near each other share a window.
-    o = np.lexsort((j, pair))
-    pair, j, i = pair[o], j[o], i[o]
+        return none
+    # A passage's twenty words lie around its runs; runs near each other share a window.
     new = np.r_[True, (pair[1:] != pair[:-1]) | (j[1:] - j[:-1] > p.page_reach)]
     first = np.flatnonzero(new)
     doc, item = pair[first] >> 32, pair[first] & 0xFFFFFFFF
@@ -165,7 +200,7 @@ def _candidates(letters: Letters, j: np.ndarray, item: np.ndarray, i: np.ndarray
     x = own[np.maximum(np.searchsorted(own, base + np.minimum.reduceat(i, first), "right") - 1 - p.reach, 0)] - base
     y = own[np.minimum(np.searchsorted(own, base + np.maximum.reduceat(i, first), "right") + p.reach, len(own) - 1)] - base
     x, y = np.maximum(x, 0), np.minimum(np.where(y + base == own[-1], size, y), size)
-    wide = np.maximum(2 * (y - x), p.page_reach) // 2 + 150  # every second line may be foreign, and an advert between
+    wide = np.maximum(2 * (y - x), p.page_reach) // 2 + 150  # every second line may be foreign
     a, b = np.maximum(j[first] - lo - wide, 0), np.minimum(j[last] - lo + wide, letters.start[doc + 1] - lo)
     return np.stack([doc, item, a, b, x, y], 1)
 
@@ -286,27 +321,119 @@ def _stretch(state: np.ndarray, added: np.ndarray, more: np.ndarray, word: np.nd
     return int(y - x), float(same[x:y].mean())
 
 
-def _windows(rows: np.ndarray, p: LeakParams) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """The ranges to be aligned, long ones in pieces that overlap by half."""
+@dataclass(frozen=True)
+class _Task:
+    """Letters of a page (places in the batch, ascending) to be aligned with letters ``x`` to ``y`` of an item."""
+
+    doc: int
+    item: int
+    page: np.ndarray
+    x: int
+    y: int
+
+
+def _tasks(rows: np.ndarray, L: Letters, p: LeakParams) -> Iterator[_Task]:
+    """The windows of a pair end to end as one page: what lies between them has no run and would be skipped. Long ones go in pieces that overlap by half."""
     cut = lambda a, b, size: [(a, b)] if b - a <= 2 * size else [(k, min(k + 2 * size, b)) for k in range(a, b - size, size)]
-    for d, it, a, b, x, y in rows.tolist():
-        yield from ((d, it, *u, *v) for u in cut(a, b, p.page_letters) for v in cut(x, y, p.item_letters))
-
-
-def _covered(window: tuple[int, int, int, int, int, int], L: Letters, grams: np.ndarray, items: Items) -> bool:
-    """Whether strings of ``k`` letters of the page, in any order, cover enough of ``min_words`` words of the item for an alignment to be worth it."""
-    d, it, a, b, x, y = window
-    p, lo, base = items.p, L.start[d], items.letters.start[it]
-    own = items.grams[base + x : max(base + x, base + y - p.k + 1)]
-    here = np.r_[0, np.cumsum(np.isin(own, grams[lo + a : max(lo + a, lo + b - p.k + 1)]))]
-    at = np.arange(y - x)
-    cover = np.r_[0, np.cumsum(here[np.minimum(at + 1, len(own))] > here[np.clip(at - p.k + 1, 0, len(own))])]
-    s = items.starts
-    edge = np.r_[s[np.searchsorted(s, base + x) : np.searchsorted(s, base + y)], base + y] - base - x
-    if len(edge) <= p.min_words:
-        return False
+    if not len(rows):
+        return
+    edge = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True])
+    for m, n in zip(edge, edge[1:]):
+        d, it = int(rows[m, 0]), int(rows[m, 1])
+        lo, at, parts = int(L.start[d]), 0, []
+        for a, b in rows[m:n, 2:4].tolist():
+            if b > max(a, at):
+                parts.append(np.arange(lo + max(a, at), lo + b))
+                at = b
+        page = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        x, y = int(rows[m:n, 4].min()), int(rows[m:n, 5].max())
+        yield from (_Task(d, it, page[u:v], *w) for u, v in cut(0, len(page), p.page_letters) for w in cut(x, y, p.item_letters))
+
+
+def _dense(cover: np.ndarray, edge: np.ndarray, p: LeakParams) -> np.ndarray:
+    """First words of those stretches of ``min_words`` words of which enough letters are covered."""
+    total = np.r_[0, np.cumsum(cover)]
     u, v = edge[: -p.min_words], edge[p.min_words :]
-    return bool(((cover[v] - cover[u]) >= p.min_cover * (v - u)).any())
+    return np.flatnonzero((total[v] - total[u]) >= p.min_cover * (v - u))
+
+
+def _chain(i: list[int], j: list[int], n: list[int]) -> list[int]:
+    """Segments (by ``j``; ``n`` strings each from item place ``i`` and page place ``j`` on) of the chain with most strings, in the order of both."""
+    size = len(i)
+    best, prev = list(n), [-1] * size
+    ends = sorted(range(size), key=lambda t: j[t] + n[t])
+    tops: list[int] = []  # last item places of chains that are worth more than all that end earlier
+    who: list[int] = []
+    done = 0
+    for t in range(size):
+        while done < size and j[ends[done]] + n[ends[done]] <= j[t]:
+            u = ends[done]
+            done += 1
+            end = i[u] + n[u] - 1
+            at = bisect_right(tops, end)
+            if at and best[who[at - 1]] >= best[u]:
+                continue
+            last = at
+            while last < len(tops) and best[who[last]] <= best[u]:
+                last += 1
+            tops[at:last], who[at:last] = [end], [u]
+        at = bisect_left(tops, i[t])
+        if at:
+            prev[t] = who[at - 1]
+            best[t] += best[prev[t]]
+    t = max(range(size), key=best.__getitem__)
+    out = []
+    while t >= 0:
+        out.append(t)
+        t = prev[t]
+    return out[::-1]
+
+
+def _narrowed(task: _Task, grams: np.ndarray, items: Items) -> _Task | None:
+    """The task around the best chain of strings of ``k`` letters, or null if these cover too little of every ``min_words`` words of the item for an alignment to be worth it."""
+    p, base = items.p, int(items.letters.start[task.item])
+    s, x, y = items.starts, base + task.x, base + task.y
+    edge = np.r_[s[np.searchsorted(s, x) : np.searchsorted(s, y)], y] - x
+    own, at = items.sorted_grams(task.item)
+    if len(edge) <= p.min_words or not len(own):
+        return None
+    g = grams[task.page]
+    lo = np.searchsorted(own, g)
+    lo[lo == len(own)] = 0
+    j = np.flatnonzero(own[lo] == g)
+    lo = lo[j]
+    n = np.searchsorted(own, g[j], "right") - lo
+    if len(j) and n.max() > 1:
+        lo = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
+        j = np.repeat(j, n)
+    i = at[lo] - task.x
+    inside = (i >= 0) & (i + p.k <= task.y - task.x)
+    i, j = i[inside], j[inside]
+    size = task.y - task.x
+    cover = lambda start, end: np.cumsum(np.bincount(start, minlength=size + 1) - np.bincount(end, minlength=size + 1))[:size] > 0
+    dense = _dense(cover(i, i + p.k), edge, p)
+    if not len(dense):
+        return None
+    inside = (i + p.k > edge[dense[0]]) & (i < edge[dense[-1] + p.min_words])
+    i, j = i[inside], j[inside]
+    # In order: matches on one diagonal are segments, and the best chain of segments counts.
+    o = np.argsort((i - j) * (1 << 32) + j, kind="stable")
+    i, j = i[o], j[o]
+    first = np.flatnonzero(np.r_[True, (i[1:] - i[:-1] != 1) | (j[1:] - j[:-1] != 1)])
+    n = np.diff(np.r_[first, len(i)])
+    i, j = i[first], j[first]
+    o = np.argsort(j, kind="stable")
+    i, j, n = i[o], j[o], n[o]
+    c = np.array(_chain(i.tolist(), j.tolist(), n.tolist()))
+    i, j, n = i[c], j[c], n[c]
+    dense = _dense(cover(i, i + n + p.k - 1), edge, p)
+    if not len(dense):
+        return None
+    lo, hi = edge[max(0, int(dense[0]) - p.beyond)], edge[min(len(edge) - 1, int(dense[-1]) + p.min_words + p.beyond)]
+    here = (i + n + p.k > lo) & (i < hi)
+    start, end = np.maximum(j[here] - p.margin, 0), np.minimum(j[here] + n[here] + p.k + p.margin, len(g))
+    near = np.cumsum(np.bincount(start, minlength=len(g) + 1) - np.bincount(end, minlength=len(g) + 1))[: len(g)] > 0
+    return _Task(task.doc, task.item, task.page[near], task.x + int(lo), task.x + int(hi))
 
 
 def find_in_texts(texts: list[str | None], items: Items) -> list[tuple[int, int, int, float]]:
@@ -314,21 +441,21 @@ def find_in_texts(texts: list[str | None], items: Items) -> list[tuple[int, int,
     p, own = items.p, items.letters
     L = Letters(texts)
     place, value = items.finder.search(L.code)
-    grams = packed(L.code, np.arange(max(0, len(L.code) - p.k + 1)), p.k)
-    tasks = [t for t in _windows(_candidates(L, *items.seeds(place, value), items), p) if _covered(t, L, grams, items)]
-    tasks.sort(key=lambda t: ((t[5] - t[4]) // 64, t[3] - t[2]))
+    grams = np.r_[packed(L.code, np.arange(max(0, len(L.code) - p.k + 1)), p.k), np.full(p.k - 1, -1)]
+    wide = _tasks(_candidates(L, *items.seeds(place, value), items), L, p)
+    tasks = [t for w in wide if (t := _narrowed(w, grams, items)) is not None]
+    tasks.sort(key=lambda t: ((t.y - t.x) // 64, len(t.page)))
     out: dict[tuple[int, int], tuple[int, float]] = {}
     while tasks:  # ranges of like length together
-        wide = max(t[3] - t[2] for t in tasks[-p.together :]) * (tasks[-1][5] - tasks[-1][4])
+        wide = max(len(t.page) for t in tasks[-p.together :]) * (tasks[-1].y - tasks[-1].x)
         some = [tasks.pop() for _ in range(min(len(tasks), max(1, min(p.together, 20_000_000 // max(1, wide)))))]
-        pages = [slice(L.start[d] + a, L.start[d] + b) for d, _, a, b, _, _ in some]
-        wanted = [slice(own.start[it] + x, own.start[it] + y) for _, it, _, _, x, y in some]
-        paths = _paths([L.code[s] for s in pages], [L.line[s] for s in pages], [L.word[s] for s in pages], [own.code[s] for s in wanted], [own.word[s] for s in wanted], p)
-        for (d, it, *_), s, (state, added, more) in zip(some, wanted, paths):
+        wanted = [slice(own.start[t.item] + t.x, own.start[t.item] + t.y) for t in some]
+        paths = _paths([L.code[t.page] for t in some], [L.line[t.page] for t in some], [L.word[t.page] for t in some], [own.code[s] for s in wanted], [own.word[s] for s in wanted], p)
+        for t, s, (state, added, more) in zip(some, wanted, paths):
             if state.any():
                 words, share = _stretch(state, added, more, own.word[s], p)
                 if words:
-                    out[d, it] = max(out.get((d, it), (0, 0.0)), (words, share))
+                    out[t.doc, t.item] = max(out.get((t.doc, t.item), (0, 0.0)), (words, share))
     return [(d, it, *v) for (d, it), v in sorted(out.items())]
 
 
@@ -341,19 +468,21 @@ def _stretches(text: str, p: LeakParams) -> list[str]:
     return [text[k : k + p.stretch] for k in range(0, len(text) - p.overlap, p.stretch - p.overlap)]
 
 
-def _search(batches: Iterator[pd.DataFrame], ids: list, texts: list, config: dict) -> Iterator[pd.DataFrame]:
+def _search(batches: Iterator[pd.DataFrame], ids: list[list[int]], texts: list[str], counts: dict[bytes, int] | None, total: int, config: dict) -> Iterator[pd.DataFrame]:
+    """``ids``: of each text, the items that have it."""
     p = LeakParams(**config)
     key = (hash(tuple(texts)), p)
     if key not in _prepared:
         _prepared.clear()
-        _prepared[key] = Items(np.arange(len(texts)), texts, p)
+        _prepared[key] = Items(texts, p, counts, total)
     items = _prepared[key]
 
     def flush(docs: list, parts: list) -> pd.DataFrame:
         best: dict[tuple, tuple[int, float]] = {}
         for d, it, words, share in find_in_texts(parts, items):
-            pair = (docs[d], ids[it])
-            best[pair] = max(best.get(pair, (0, 0.0)), (words, share))
+            for item_id in ids[it]:
+                pair = (docs[d], item_id)
+                best[pair] = max(best.get(pair, (0, 0.0)), (words, share))
         return pd.DataFrame([(*k, *v) for k, v in best.items()], columns=["doc_id", "item_id", "words", "share"]).astype({"words": "int32", "share": "float64"})
 
     docs, parts, size = [], [], 0
@@ -370,19 +499,40 @@ def _search(batches: Iterator[pd.DataFrame], ids: list, texts: list, config: dic
         yield flush(docs, parts)
 
 
+def _word_counts(items: DataFrame) -> DataFrame:
+    """``word`` (its letters' codes), ``n`` over all texts, and the passes that hold it."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for k, texts in pdf.groupby("_pass")["text"]:
+                found = Counter(Letters(list(texts)).words())
+                yield pd.DataFrame({"word": list(found), "n": list(found.values()), "_pass": k})
+
+    each = items.mapInPandas(count, "word binary, n bigint, _pass int")
+    return each.groupBy("word").agg(F.sum("n").alias("n"), F.collect_set("_pass").alias("_passes"))
+
+
 def leaked_passages(documents: DataFrame, eval_items: DataFrame, params: LeakParams = LeakParams()) -> DataFrame:
     """Columns ``doc_id``, ``item_id``, ``words`` (of the item, covered on the page), ``share`` (of that stretch of the item)."""
     own = eval_items.select("item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).distinct()
-    total = own.agg(F.sum(F.length("text"))).first()[0] or 0
-    passes = max(1, -(-int(total) // params.max_item_letters))
+    size = own.agg(F.sum(F.length("text"))).first()[0] or 0
+    passes = max(1, -(-int(size) // params.max_item_letters))
+    # A pass takes a block of the query set, of bounded size, against all pages; one text is in one block, whoever has it.
+    own = own.withColumn("_pass", F.pmod(F.xxhash64("text"), F.lit(passes)).cast("int"))
+    if passes > 1:
+        own = written(own)
+        known = written(_word_counts(own))
+        total = int(known.agg(F.sum("n")).first()[0] or 0)
     pages = spread(documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text"))
     config = asdict(params)
     out = None
     for k in range(passes):
-        # A pass takes a block of the query set, of bounded size, against all pages.
-        block = own if passes == 1 else own.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k)
-        rows = block.orderBy("item_id", "text").collect()
-        ids, texts = [r[0] for r in rows], [r[1] for r in rows]
-        found = pages.mapInPandas(lambda it, ids=ids, texts=texts: _search(it, ids, texts, config), "doc_id bigint, item_id bigint, words int, share double")
+        ids: dict[str, list[int]] = {}
+        for r in own.where(F.col("_pass") == k).orderBy("text", "item_id").collect():
+            ids.setdefault(r["text"], []).append(r["item_id"])
+        # Words weigh by the whole set, however it is cut into passes.
+        counts = {bytes(r["word"]): r["n"] for r in known.where(F.array_contains("_passes", k)).collect()} if passes > 1 else None
+        given = (list(ids.values()), list(ids), counts, total if passes > 1 else 0, config)
+        found = pages.mapInPandas(lambda it, given=given: _search(it, *given), "doc_id bigint, item_id bigint, words int, share double")
         out = found if out is None else out.unionByName(found)
     return out.groupBy("doc_id", "item_id").agg(F.max(F.struct("words", "share")).alias("b")).select("doc_id", "item_id", "b.words", "b.share")

@@ -51,6 +51,11 @@ class Letters:
         ends = np.cumsum(size)
         self.start = np.searchsorted(keep, np.r_[0, ends])  # first letter of each text, and the end
 
+    def words(self) -> list[bytes]:
+        """Letters of each word."""
+        at = np.flatnonzero(np.r_[True, self.word[1:] != self.word[:-1]]) if len(self.code) else np.zeros(0, np.int64)
+        return [self.code[a:b].tobytes() for a, b in zip(at, np.r_[at[1:], len(self.code)])]
+
     def text_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.start, at, side="right") - 1
 

@@ -2,15 +2,13 @@
 
 import random
 
-import numpy as np
-
 from barloom.llm.leaks import Items, LeakParams, _candidates, find_in_texts
 from barloom.llm.wumanber import Letters
-from tests_leaks_help import page, prose_items
+from tests_leaks_help import lines, page, prose, prose_items
 
 
 def found(texts, items):
-    return {r[:2] for r in find_in_texts(texts, Items(np.arange(len(items)), items, LeakParams()))}
+    return {r[:2] for r in find_in_texts(texts, Items(items, LeakParams()))}
 
 
 def planted(items, n, words, changed, mixed, rate, seed):
@@ -50,7 +48,31 @@ def test_one_item_is_found_as_among_many():
 def test_filter_keeps_passages_in_columns_read_across():
     texts_of = prose_items(400)
     texts, want = planted(texts_of, 200, 20, 3, True, 0.025, 12)
-    items, L = Items(np.arange(400), texts_of, LeakParams()), Letters(texts)
+    items, L = Items(texts_of, LeakParams()), Letters(texts)
     rows = _candidates(L, *items.seeds(*items.finder.search(L.code)), items)
     kept = {tuple(r) for r in rows[:, :2].tolist()}
     assert len(kept & want) >= 0.9 * len(want)
+
+
+def test_an_advert_of_any_length_hides_nothing():
+    items = prose_items(40)
+    rng = random.Random(3)
+    for between in (3, 60, 200):
+        texts, want = [], set()
+        for q in range(20):
+            words = items[q].split()[:26]
+            advert = [x for _ in range(between) for x in lines(prose(rng, 6), 80)]
+            texts.append("\n".join(lines(prose(rng, 60)) + lines(words[:13]) + advert + lines(words[13:]) + lines(prose(rng, 60))))
+            want.add((q, q))
+        assert found(texts, items) == want
+
+
+def test_many_runs_on_one_place():
+    """A phrase that an item repeats gives many runs at one place of the page; the passage around it is found still."""
+    rng = random.Random(8)
+    phrase = " ".join(prose(rng, 4))
+    parts = [" ".join(prose(rng, 5)) for _ in range(40)]
+    item = " ".join(f"{phrase} {x}" for x in parts)
+    passage = " ".join(f"{phrase} {x}" for x in parts[20:24])
+    text = "\n".join([*lines(prose(rng, 90)), *lines((passage + " ").split()), *lines(prose(rng, 90))])
+    assert found([text], [item]) == {(0, 0)}
