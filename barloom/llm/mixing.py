@@ -11,10 +11,12 @@ times its size gives every page twice and a sample of 0.4 of its tokens once
 more. Draws are hashes of the page and a seed, so reruns and lost executors
 give the same set.
 
-Scale: no source is sorted as a whole. Keys are mapped to (0, 1) and binned;
-token sums per source and bin (partial aggregation) give each bin's offset, all
-bins below the budget are taken whole, and only the one bin per source that
-holds the cut is sorted. Tokens are counted once a page, in Python workers,
+Scale: no source is sorted as a whole. Keys are binned by their logarithm: an
+exponential draw's logarithm has one shape whatever the weight, which only moves
+it, so a bin holds at most ``1 / (e * bins)`` of a source however its weights
+are mixed. Token sums per source and bin (partial aggregation) give each bin's
+offset, all bins below the budget are taken whole, and only the one bin per
+source that holds the cut is sorted. Tokens are counted once a page, in Python workers,
 over whole texts of targeted sources only.
 
 The total: ``total_tokens``, or else the most at which every source that has
@@ -39,19 +41,20 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.session import cut_lineage
+from barloom.session import written
 
 
 @dataclass(frozen=True)
 class MixParams:
-    vocabulary: str = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # ranks of a public tokenizer
+    vocabulary: str | None = None  # ranks of a public tokenizer, on every worker; None: the session's ``spark.barloom.vocabulary``, else ``VOCABULARY``
     pattern: str | None = None  # its splitting pattern; None: the one published beside the file
     total_tokens: int | None = None
     seed: int = 20_24
-    bins: int = 4_096
+    bins: int = 1_024  # to the factor e in the keys
     least_weight: float = 0.05
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _encoders: dict[tuple, object] = {}
 #: Fixed value: splitting pattern published with the byte-level vocabulary.
 BYTE_BPE_PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -71,7 +74,8 @@ def count_tokens(documents: DataFrame, params: MixParams = MixParams(), text: st
     """``documents`` without the text, with ``n_tokens`` of it."""
     kept = [c for c in documents.columns if c != text]
     schema = documents.select(*kept).schema.add("n_tokens", "long")
-    path, pattern = params.vocabulary, params.pattern
+    path = params.vocabulary or documents.sparkSession.conf.get("spark.barloom.vocabulary", VOCABULARY)
+    pattern = params.pattern
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = _encoder(path, pattern).encode_ordinary
@@ -126,12 +130,11 @@ def mix_sources(documents: DataFrame, targets: DataFrame, *, weight: Column | No
     pages = documents.select("doc_id", "source", "text", F.greatest(F.coalesce(F.nanvl(w.cast("double"), F.lit(None).cast("double")), F.lit(params.least_weight)), F.lit(params.least_weight)).alias("_w"))
     pages = pages.join(goals.select("source"), "source", "left_semi").where(F.length("text") > 0)
     sized = count_tokens(pages, params).where(F.col("n_tokens") > 0)
-    # Smallest key first; 1 - exp(-key) keeps the order and lies in (0, 1).
-    key = 1 - F.exp(F.log(draw) / F.col("_w"))
-    sized = cut_lineage(sized.withColumn("_key", key).withColumn("_bin", F.least(F.floor(F.col("_key") * params.bins), F.lit(params.bins - 1)).cast("int")).drop("_w"))
+    # Smallest key first.
+    sized = written(sized.withColumn("_key", -F.log(draw) / F.col("_w")).withColumn("_bin", F.floor(F.log("_key") * params.bins).cast("int")).drop("_w"))
     bins = sized.groupBy("source", "_bin").agg(F.sum("n_tokens").alias("_t"), F.count("*").alias("_n"))
     sizes = goals.join(bins.groupBy("source").agg(F.sum("_t").alias("available"), F.sum("_n").alias("docs")), "source", "left").fillna(0, ["available", "docs"])
-    plan = cut_lineage(_plan(sizes, params))
+    plan = written(_plan(sizes, params))
     before = F.coalesce(F.sum("_t").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     state = bins.withColumn("_before", before).join(plan.select("source", "_epochs", "_rest"), "source")
     state = state.select("source", "_bin", "_before", "_epochs", "_rest", (F.col("_before") + F.col("_t") <= F.col("_rest")).alias("_whole"), ((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("_t") > F.col("_rest"))).alias("_cut"))

@@ -34,7 +34,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Band of each English page."""
     documents = table(spark, sf_dir, "documents")
     model = fit_levels(documents, table(spark, sf_dir, "reading_labels"))
-    return predict_levels(documents.where(F.col("lang") == "en"), model)
+    return predict_levels(documents.where(F.col("lang") == "en"), model).select("doc_id", "band")
 
 
 QUERIES = {"p6_found": p6_found, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found}

@@ -6,22 +6,24 @@ gives every page its band.
 Method: each word's acquisition grade is estimated from graded text: the share
 of each grade in the word's occurrences, every grade weighing the same, gives
 the grade at which half of its use is reached (interpolated). A page is
-described by quantiles of the grades of its known words, and thresholds on a
-blend of these quantiles, calibrated on the graded pages (leave-one-out word
-counts would be finer; words need ``min_pages`` pages instead), give the band.
+described by quantiles of the grades of its known words. Calibration on the
+graded pages gives each band the median of these quantiles as its centre, and a
+page gets the band of the nearest centre (differences weighed by the spread
+within bands). Words need ``min_pages`` graded pages to be known.
 Broken line ends are joined; words the model doesn't know, among them most
 misread ones, don't count.
 
 Bounds: the model is fitted on at most ``max_pages`` graded pages (chosen by
 hash of the id), counted on the workers; its vocabulary is bounded by their
-text and by ``min_pages``. Everything else
-covers all pages: each page is read whole and once, in Python workers.
+text and by ``min_pages``. The graded ids alone, no more than ``max_pages``, are
+broadcast. The corpus is read twice: to pick the graded pages, and to give every
+page its band, whole texts in Python workers.
 
 Defined results: raters' grades are combined by the mean of non-null grades,
 repeated labels count once; pages graded by nobody aren't used for fitting, and
 of several texts with one graded id the greatest is.
-A page without known words gets the band at the middle of the calibration
-(``fallback``); null texts likewise. Without any graded page every band is
+A page without known words, a null text among them, gets the band at the middle
+of the calibration, and ``known_words`` 0 marks it. Without any graded page every band is
 null. Extra columns and repeated pages are kept apart by row.
 """
 
@@ -37,7 +39,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.session import spread
+from barloom.session import spread, written
 
 WORD = re.compile(r"[a-z]+(?:'[a-z]+)?")
 BREAK = re.compile(r"[-=¬­] ?\r?\n")
@@ -138,7 +140,7 @@ def fit_levels(documents: DataFrame, labels: DataFrame, params: ReadingParams =
     )
     # Bounded by max_pages rows, so it may go to all workers; the pages aren't shuffled.
     pages = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(graded), "doc_id")
-    pages = pages.groupBy("doc_id", "_band").agg(F.max("text").alias("text"))
+    pages = written(pages.groupBy("doc_id", "_band").agg(F.max("text").alias("text")))
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -146,7 +148,7 @@ def fit_levels(documents: DataFrame, labels: DataFrame, params: ReadingParams =
 
     bands = [f"c{b}" for b in range(n)]
     words = pages.select("text", "_band").mapInPandas(count, ", ".join(["word string", "pages bigint", *(f"{b} bigint" for b in bands)]))
-    table = words.groupBy("word").agg(F.sum("pages").alias("pages"), *[F.sum(b).alias(b) for b in bands])
+    table = written(words.groupBy("word").agg(F.sum("pages").alias("pages"), *[F.sum(b).alias(b) for b in bands]))
     rows = table.where(F.col("pages") >= params.min_pages).toPandas()
     total = np.array([x or 0 for x in table.agg(*[F.sum(b) for b in bands]).first()], float)
     grade = _grades(dict(zip(rows["word"], rows[bands].to_numpy(float))), total, params)
@@ -160,21 +162,21 @@ def fit_levels(documents: DataFrame, labels: DataFrame, params: ReadingParams =
     return _calibrated(grade, np.array([r["f"] for r in described]), np.array([r["b"] for r in described]), params)
 
 
-def band_of(text: str | None, model: LevelModel) -> int | None:
-    if not model.bands:
-        return None
-    f = _features(words_of(text), model.grade) if text else None
-    if f is None:
-        return model.fallback
-    distance = (np.abs(np.array(model.centres) - f) / np.array(model.spread)).sum(axis=1)
-    return model.bands[int(distance.argmin())]
+def band_of(text: str | None, model: LevelModel) -> tuple[int | None, int]:
+    """Band and number of known words."""
+    known = [g for g in map(model.grade.get, words_of(text)) if g is not None] if text else []
+    if not known or not model.bands:
+        return (model.fallback if model.bands else None), len(known)
+    distance = (np.abs(np.array(model.centres) - np.quantile(np.array(known), QUANTILES)) / np.array(model.spread)).sum(axis=1)
+    return model.bands[int(distance.argmin())], len(known)
 
 
 def predict_levels(documents: DataFrame, model: LevelModel) -> DataFrame:
-    """Columns ``doc_id`` and ``band``, one row a page."""
+    """Columns ``doc_id``, ``band`` and ``known_words``, one row a page."""
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "band": pd.array([band_of(t, model) for t in pdf["text"]], dtype="Int32")})
+            found = [band_of(t, model) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "band": pd.array([b for b, _ in found], dtype="Int32"), "known_words": [n for _, n in found]})
 
-    return spread(documents.select("doc_id", "text")).mapInPandas(predict, "doc_id bigint, band int")
+    return spread(documents.select("doc_id", "text")).mapInPandas(predict, "doc_id bigint, band int, known_words bigint")

@@ -4,11 +4,11 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.llm.mixing import MixParams, _encoder, _pieces, count_tokens, mix_sources, scan_quality
+from barloom.llm.mixing import VOCABULARY, MixParams, _encoder, _pieces, count_tokens, mix_sources, scan_quality
 
 DOCS = "doc_id bigint, source string, text string, w double, copies int, n_tokens string"
 TARGETS = "source string, target_share double, max_repeats int, doc_id string"
-pytestmark = pytest.mark.skipif(not os.path.exists(MixParams().vocabulary), reason="the vocabulary isn't here")
+pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="the vocabulary isn't here")
 
 
 def docs(spark, sizes, w=1.0):
@@ -39,16 +39,16 @@ def brute(pages, goals, seed_keys, total):
     return out
 
 
-@pytest.mark.parametrize("bins", [1, 7, 4096])
-def test_against_brute_force(spark, bins):
+@pytest.mark.parametrize("bins,low", [(1, 0.5), (1024, 0.5), (1024, 0.05)])
+def test_against_brute_force(spark, bins, low):
     goals = {"a": (0.5, 1), "b": (0.3, 3), "c": (0.2, 8)}
     df = docs(spark, {"a": 120, "b": 40, "c": 5, "other": 30})
     targets = spark.createDataFrame([(s, *g, "") for s, g in goals.items()], TARGETS)
     p = MixParams(bins=bins)
-    mix, shares = mix_sources(df, targets, weight=F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.5), params=p)
+    mix, shares = mix_sources(df, targets, weight=F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(low), params=p)
     sized = [tuple(r) for r in count_tokens(df.select("doc_id", "source", "text")).select("doc_id", "source", "n_tokens").collect()]
     draw = (F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("source"), F.lit(p.seed)), 11).cast("double") + 0.5) / float(1 << 53)
-    keys = {r[0]: -math.log(r[1]) / (1.0 if r[0] % 2 == 0 else 0.5) for r in df.select("doc_id", draw).collect()}
+    keys = {r[0]: -math.log(r[1]) / (1.0 if r[0] % 2 == 0 else low) for r in df.select("doc_id", draw).collect()}
     size = lambda s: sum(n for _, x, n in sized if x == s)
     total = min(m * size(s) / g for s, (g, m) in goals.items())
     got = {r["doc_id"]: r["copies"] for r in mix.collect()}
@@ -85,7 +85,7 @@ def test_defined_results(spark):
 
 
 def test_pieces_count_like_whole_texts():
-    enc = _encoder(MixParams().vocabulary, None)
+    enc = _encoder(VOCABULARY, None)
     text = "\n".join(f"line {k} with some  words, it's {k * k}" for k in range(3000))
     parts = list(_pieces(text, 1_000))
     assert "".join(parts) == text and len(parts) > 20
@@ -95,3 +95,14 @@ def test_pieces_count_like_whole_texts():
 def test_scan_quality(spark):
     df = spark.createDataFrame([([(1, 0.5), (2, 0.7)],), ([],), (None,), ([(1, None)],)], "b array<struct<x0:int,conf:float>>")
     assert [round(r[0], 3) if r[0] is not None else None for r in df.select(scan_quality(F.col("b"))).collect()] == [0.6, None, None, None]
+
+
+def test_vocabulary_of_the_session(spark):
+    df = docs(spark, {"a": 3}).select("doc_id", "text")
+    spark.conf.set("spark.barloom.vocabulary", "/nowhere/ranks")
+    try:
+        with pytest.raises(Exception, match="nowhere"):
+            count_tokens(df).collect()
+        assert count_tokens(df, MixParams(vocabulary=VOCABULARY)).count() == 3
+    finally:
+        spark.conf.unset("spark.barloom.vocabulary")
