@@ -60,7 +60,7 @@ class LeakParams:
     beyond: int = 10  # words of the item to both sides of such words that are aligned
     least_run: float = 8.0  # nats of a run that is kept; chance agreement of one word carries about as many
     least_text: int = 24_000  # words
-    side_run: float = 14.0  # nats of a run that counts wherever it stands on the page, once a chain carries ``min_information``
+    side_run: float = 20.0  # nats of a run that counts wherever it stands on the page, once a chain carries ``min_information``
     seed_reach: int = 1_500  # letters of a page within which runs support each other towards ``min_information``
     max_item_gap: int = 60
     min_words: int = 20
@@ -82,13 +82,20 @@ class LeakParams:
     overlap: int = 20_000
 
 
+HASHED = 14
+
+
+def _hashes(grams: np.ndarray) -> np.ndarray:
+    return ((grams * np.int64(0x9E3779B1)) >> np.int64(16)) & np.int64((1 << HASHED) - 1)
+
+
 class Items:
     """The held-out set prepared for search and check."""
 
     def __init__(self, texts: list[str | None], p: LeakParams, counts: dict[bytes, int] | None = None, total: int = 0):
         """``counts``, ``total``: words of the whole held-out set, where the texts are a part of it."""
         self.p = p
-        self._sorted: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self._sorted: dict[int, tuple[np.ndarray, ...]] = {}
         L = self.letters = Letters(texts)
         starts = starts_all = np.flatnonzero(np.r_[True, L.word[1:] != L.word[:-1]]) if len(L.code) else np.zeros(0, np.int64)
         self.starts = starts_all
@@ -108,13 +115,15 @@ class Items:
         each = np.array([-np.log(count[w] / max(total or len(words), p.least_text)) / len(w) for w in words])
         self.information = np.r_[0.0, np.cumsum(np.repeat(each, ends - starts_all))] if words else np.zeros(1)
 
-    def sorted_grams(self, item: int) -> tuple[np.ndarray, np.ndarray]:
-        """Strings of ``k`` letters of an item in their order, with their places."""
+    def sorted_grams(self, item: int) -> tuple[np.ndarray, ...]:
+        """Strings of ``k`` letters of an item in their order, their places, and the hashes that occur."""
         if item not in self._sorted:
             a, b = self.letters.start[item : item + 2]
             own = self.grams[a : max(a, b - self.p.k + 1)]
             order = np.argsort(own, kind="stable")
-            self._sorted[item] = own[order], order
+            there = np.zeros(1 << HASHED, bool)
+            there[_hashes(own)] = True
+            self._sorted[item] = own[order], order, there
         return self._sorted[item]
 
     def seeds(self, place: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -337,7 +346,7 @@ def _tasks(rows: np.ndarray, L: Letters, p: LeakParams) -> Iterator[_Task]:
     cut = lambda a, b, size: [(a, b)] if b - a <= 2 * size else [(k, min(k + 2 * size, b)) for k in range(a, b - size, size)]
     if not len(rows):
         return
-    edge = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True])
+    edge = np.flatnonzero(np.r_[True, (rows[1:, :2] != rows[:-1, :2]).any(axis=1), True]).tolist()
     for m, n in zip(edge, edge[1:]):
         d, it = int(rows[m, 0]), int(rows[m, 1])
         lo, at, parts = int(L.start[d]), 0, []
@@ -352,7 +361,8 @@ def _tasks(rows: np.ndarray, L: Letters, p: LeakParams) -> Iterator[_Task]:
 
 def _dense(cover: np.ndarray, edge: np.ndarray, p: LeakParams) -> np.ndarray:
     """First words of those stretches of ``min_words`` words of which enough letters are covered."""
-    total = np.r_[0, np.cumsum(cover)]
+    total = np.zeros(len(cover) + 1, np.int64)
+    np.cumsum(cover, out=total[1:])
     u, v = edge[: -p.min_words], edge[p.min_words :]
     return np.flatnonzero((total[v] - total[u]) >= p.min_cover * (v - u))
 
@@ -389,20 +399,22 @@ def _chain(i: list[int], j: list[int], n: list[int]) -> list[int]:
     return out[::-1]
 
 
-def _narrowed(task: _Task, grams: np.ndarray, items: Items) -> _Task | None:
+def _narrowed(task: _Task, grams: np.ndarray, hashes: np.ndarray, items: Items) -> _Task | None:
     """The task around the best chain of strings of ``k`` letters, or null if these cover too little of every ``min_words`` words of the item for an alignment to be worth it."""
     p, base = items.p, int(items.letters.start[task.item])
     s, x, y = items.starts, base + task.x, base + task.y
-    edge = np.r_[s[np.searchsorted(s, x) : np.searchsorted(s, y)], y] - x
-    own, at = items.sorted_grams(task.item)
+    edge = np.append(s[np.searchsorted(s, x) : np.searchsorted(s, y)], y) - x
+    own, at, there = items.sorted_grams(task.item)
     if len(edge) <= p.min_words or not len(own):
         return None
-    g = grams[task.page]
+    size_of_page = len(task.page)
+    j = np.flatnonzero(there[hashes[task.page]])
+    g = grams[task.page[j]]
     lo = np.searchsorted(own, g)
     lo[lo == len(own)] = 0
-    j = np.flatnonzero(own[lo] == g)
-    lo = lo[j]
-    n = np.searchsorted(own, g[j], "right") - lo
+    same = own[lo] == g
+    j, lo = j[same], lo[same]
+    n = np.searchsorted(own, g[same], "right") - lo
     if len(j) and n.max() > 1:
         lo = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
         j = np.repeat(j, n)
@@ -417,11 +429,14 @@ def _narrowed(task: _Task, grams: np.ndarray, items: Items) -> _Task | None:
     inside = (i + p.k > edge[dense[0]]) & (i < edge[dense[-1] + p.min_words])
     i, j = i[inside], j[inside]
     # In order: matches on one diagonal are segments, and the best chain of segments counts.
-    o = np.argsort((i - j) * (1 << 32) + j, kind="stable")
-    i, j = i[o], j[o]
-    first = np.flatnonzero(np.r_[True, (i[1:] - i[:-1] != 1) | (j[1:] - j[:-1] != 1)])
-    n = np.diff(np.r_[first, len(i)])
-    i, j = i[first], j[first]
+    key = np.sort((i - j + (1 << 30)) << 32 | j)
+    step = np.ones(len(key), bool)
+    step[1:] = key[1:] - key[:-1] != 1
+    first = np.flatnonzero(step)
+    n = np.diff(np.append(first, len(key)))
+    key = key[first]
+    j = key & 0xFFFFFFFF
+    i = (key >> 32) - (1 << 30) + j
     o = np.argsort(j, kind="stable")
     i, j, n = i[o], j[o], n[o]
     c = np.array(_chain(i.tolist(), j.tolist(), n.tolist()))
@@ -431,8 +446,8 @@ def _narrowed(task: _Task, grams: np.ndarray, items: Items) -> _Task | None:
         return None
     lo, hi = edge[max(0, int(dense[0]) - p.beyond)], edge[min(len(edge) - 1, int(dense[-1]) + p.min_words + p.beyond)]
     here = (i + n + p.k > lo) & (i < hi)
-    start, end = np.maximum(j[here] - p.margin, 0), np.minimum(j[here] + n[here] + p.k + p.margin, len(g))
-    near = np.cumsum(np.bincount(start, minlength=len(g) + 1) - np.bincount(end, minlength=len(g) + 1))[: len(g)] > 0
+    start, end = np.maximum(j[here] - p.margin, 0), np.minimum(j[here] + n[here] + p.k + p.margin, size_of_page)
+    near = np.cumsum(np.bincount(start, minlength=size_of_page + 1) - np.bincount(end, minlength=size_of_page + 1))[: size_of_page] > 0
     return _Task(task.doc, task.item, task.page[near], task.x + int(lo), task.x + int(hi))
 
 
@@ -442,8 +457,9 @@ def find_in_texts(texts: list[str | None], items: Items) -> list[tuple[int, int,
     L = Letters(texts)
     place, value = items.finder.search(L.code)
     grams = np.r_[packed(L.code, np.arange(max(0, len(L.code) - p.k + 1)), p.k), np.full(p.k - 1, -1)]
+    hashes = _hashes(grams).astype(np.uint16)
     wide = _tasks(_candidates(L, *items.seeds(place, value), items), L, p)
-    tasks = [t for w in wide if (t := _narrowed(w, grams, items)) is not None]
+    tasks = [t for w in wide if (t := _narrowed(w, grams, hashes, items)) is not None]
     tasks.sort(key=lambda t: ((t.y - t.x) // 64, len(t.page)))
     out: dict[tuple[int, int], tuple[int, float]] = {}
     while tasks:  # ranges of like length together
