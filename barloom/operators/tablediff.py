@@ -8,9 +8,11 @@ others. Chunks are compared by fingerprint (first key, count, xor of both
 hashes); an anti-join leaves the chunks that differ, and only rows of those
 chunks are read again with their fields and compared.
 
-Sorting happens inside buckets of key ranges of fixed width, the same in both
-copies. A bucket holds at most ``bucket_width`` integral keys however the keys
-are spread; other key types are bucketed and sorted by hash of the key.
+Sorting happens inside buckets, the same in both copies: ranges of integral keys
+between quantiles of both copies' keys, so a bucket holds about ``bucket_rows``
+rows however the keys are spread; other key types are bucketed and sorted by
+hash of the key. The narrow rows and their chunks are written once and read from
+then on.
 
 Defined results: whole rows repeated count once; of different rows with one key
 the one with the latest ``version`` counts, then the one with the greater
@@ -29,14 +31,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.session import written
+
 
 @dataclass(frozen=True)
 class DiffParams:
     atol: float = 1e-9
     window: int = 4  # keys in the rolling hash
     mean_chunk: int = 16  # a row starts a chunk with probability 1 / mean_chunk
-    bucket_width: int = 65_536
-    hash_buckets: int = 4_096
+    bucket_rows: int = 65_536
+    max_ranges: int = 4_096  # of integral keys; more rows make larger buckets, which are sorted with spilling
 
 
 def _canonical(df: DataFrame, field: str, atol: float) -> Column:
@@ -50,10 +54,22 @@ def _canonical(df: DataFrame, field: str, atol: float) -> Column:
     return c
 
 
-def _bucket(kind: T.DataType, params: DiffParams) -> Column:
-    if isinstance(kind, T.IntegralType):
-        return F.floor(F.col("_key") / params.bucket_width).cast("bigint")
-    return F.pmod(F.xxhash64(F.col("_key")), F.lit(params.hash_buckets)).cast("bigint")
+def _bucket(sides: list[DataFrame], params: DiffParams) -> Column:
+    """Bucket of ``_key``, sized by the rows of the larger side."""
+    kind = sides[0].schema["_key"].dataType
+    want = max(1, -(-max(x.count() for x in sides) // params.bucket_rows))
+    if not isinstance(kind, T.IntegralType):
+        return F.pmod(F.xxhash64(F.col("_key")), F.lit(want)).cast("bigint")
+    want = min(want, params.max_ranges)
+    if want == 1:
+        return F.lit(0).cast("bigint")
+    keys = sides[0].select("_key").unionByName(sides[1].select("_key"))
+    bounds = keys.agg(F.percentile_approx(F.col("_key").cast("bigint"), [k / want for k in range(1, want)], 20 * want)).first()[0]
+    bounds = sorted(set(bounds or []))
+    held = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
+    # Number of bounds at or below the key, bit by bit.
+    steps = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    return F.aggregate(F.array(*[F.lit(k) for k in steps]), F.lit(0), lambda at, k: F.when(F.coalesce(F.get(held, at + k - 1) <= F.col("_key"), F.lit(False)), at + k).otherwise(at)).cast("bigint")
 
 
 def _narrow(df: DataFrame, key: str, fields: list[str], version: str | None, params: DiffParams) -> DataFrame:
@@ -67,13 +83,13 @@ def _narrow(df: DataFrame, key: str, fields: list[str], version: str | None, par
     return rows.groupBy("_key").agg(F.max("_r").alias("_r"))
 
 
-def _chunks(narrow: DataFrame, params: DiffParams) -> DataFrame:
+def _chunks(narrow: DataFrame, bucket: Column, params: DiffParams) -> DataFrame:
     kind = narrow.schema["_key"].dataType
     order = [F.col("_key")] if isinstance(kind, T.IntegralType) else [F.xxhash64("_key"), F.col("_key")]
     w = Window.partitionBy("_b").orderBy(*order)
     rolling = F.xxhash64(*[F.lag("_key", i).over(w) for i in range(params.window)])
     cut = F.when((F.row_number().over(w) == 1) | (F.pmod(rolling, F.lit(params.mean_chunk)) == 0), 1).otherwise(0)
-    return narrow.withColumn("_b", _bucket(kind, params)).withColumn("_cut", cut).withColumn("_chunk", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return narrow.withColumn("_b", bucket).withColumn("_cut", cut).withColumn("_chunk", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def _prints(chunks: DataFrame) -> DataFrame:
@@ -85,7 +101,9 @@ def _prints(chunks: DataFrame) -> DataFrame:
 
 def unmatched_rows(left: DataFrame, right: DataFrame, key: str, fields: list[str], version: str | None = None, params: DiffParams = DiffParams()) -> tuple[DataFrame, DataFrame]:
     """Keys and hashes of the rows, on either side, that lie in chunks without an equal chunk on the other side."""
-    a, b = (_chunks(_narrow(x, key, fields, version, params), params) for x in (left, right))
+    sides = [written(_narrow(x, key, fields, version, params)) for x in (left, right)]
+    bucket = _bucket(sides, params)
+    a, b = (written(_chunks(x, bucket, params)) for x in sides)
     pa, pb = _prints(a), _prints(b)
     same = ["_b", "_lo", "_hi", "_n", "_x1", "_x2"]
     out = []
@@ -109,9 +127,9 @@ def diff_tables(
     odd_left, odd_right = unmatched_rows(left, right, key, fields, version, params)
     # Rows that are equal on both sides but share a chunk with a difference drop out by their hashes.
     hl, hr = (x.select("_key", "_h1", "_h2") for x in (odd_left, odd_right))
-    keys = hl.withColumn("_s", F.lit(1)).unionByName(hr.withColumn("_s", F.lit(2))).groupBy("_key").agg(
+    keys = written(hl.withColumn("_s", F.lit(1)).unionByName(hr.withColumn("_s", F.lit(2))).groupBy("_key").agg(
         F.max(F.when(F.col("_s") == 1, F.struct("_h1", "_h2"))).alias("_l"), F.max(F.when(F.col("_s") == 2, F.struct("_h1", "_h2"))).alias("_r")
-    ).where(~F.col("_l").eqNullSafe(F.col("_r")))
+    ).where(~F.col("_l").eqNullSafe(F.col("_r"))))
 
     def wide(df: DataFrame, side: str) -> DataFrame:
         canon = [F.struct(_canonical(df, f, params.atol)) for f in fields]

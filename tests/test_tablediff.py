@@ -20,17 +20,17 @@ def test_rules(spark):
     assert diff(spark, a + a[:4], b + b) == [(2, "x"), (4, "s"), (5, "only_a"), (6, "only_b"), (7, "s"), (7, "x")]
 
 
-@pytest.mark.parametrize("width,chunk", [(64, 4), (65_536, 16), (10, 1)])
-def test_random_against_brute_force(spark, width, chunk):
+@pytest.mark.parametrize("width,chunk,apart", [(64, 4, 1), (65_536, 16, 1), (100, 1, 10**14)])
+def test_random_against_brute_force(spark, width, chunk, apart):
     rng = random.Random(width)
-    a = [(k - 500, 0, rng.random(), rng.choice("abc"), "") for k in range(1000) if rng.random() > 0.02]
+    a = [((k - 500) * apart, 0, rng.random(), rng.choice("abc"), "") for k in range(1000) if rng.random() > 0.02]
     b = [(k, 0, x + (rng.random() < 0.03), s if rng.random() > 0.03 else "z", "") for k, _, x, s, _ in a if rng.random() > 0.02] + [(10_000 + k, 0, 1.0, "n", "") for k in range(5)]
     A, B = {r[0]: r for r in a}, {r[0]: r for r in b}
     expect = [(k, "only_a") for k in A.keys() - B.keys()] + [(k, "only_b") for k in B.keys() - A.keys()]
     for k in A.keys() & B.keys():
         expect += [(k, f) for f, i in (("x", 2), ("s", 3)) if A[k][i] != B[k][i]]
     rng.shuffle(b)
-    assert diff(spark, a, b, bucket_width=width, mean_chunk=chunk) == sorted(expect)
+    assert diff(spark, a, b, bucket_rows=width, mean_chunk=chunk) == sorted(expect)
 
 
 def test_equal_parts_are_not_read_again(spark):
