@@ -10,19 +10,25 @@ How a text is read
     maximisation: a text contributes its likelihood under each valid reading,
     the source's note on the order of day and month enters as prior counts, and
     the posterior picks the reading. Only counts of distinct reading sets per
-    source enter the fit, so its input is a handful of rows per file.
+    source enter the fit, so its input is a handful of rows per file. Zone
+    abbreviations that several countries use (``CST``, ``IST``, ``BST``, ...) are
+    read as the one whose offset the source's own zone has, else as the first.
 
 Which instant a wall clock means
     An offset, zone name or Unix count in the text decides; otherwise the zone
-    named by the source's free text. A wall clock skipped by a change of the
-    clocks has no instant. A wall clock that occurred twice is settled by the
-    order of rows within the file: only rows of files that hold such an hour,
-    within three hours of it, are windowed, in hour-sized groups.
+    named by the source's free text. Its two candidates are the instants by the
+    offset of a day before and of a day after, so a change of the clocks by any
+    step is seen: a skipped wall clock has no instant, one that occurred twice has
+    two. Which of them is settled by the order of rows within the file: only rows
+    of files that hold such an hour, within ``anchor_hours`` of it, are windowed,
+    in groups of a day. Where no row before or after decides, the distances in
+    time to both neighbours do, and the posterior says how clearly.
 
 Defined results (``status``)
     ``ok`` · ``missing`` (null or blank) · ``unreadable`` (no format fits or an
     impossible date) · ``off_format`` (readable only against the source's own
-    order of day and month) · ``ambiguous`` (posterior below the threshold) ·
+    order of day and month) · ``ambiguous`` (posterior below the threshold; of a
+    repeated wall clock ``alternatives`` holds both instants, likelier first) ·
     ``no_zone`` (wall clock of a source without a known zone) · ``skipped``
     (never occurred). All but ``ok`` have a null instant. Repeated rows give
     repeated results; an empty table gives an empty result; rows of unknown
@@ -51,6 +57,8 @@ ABBREVIATIONS = {
     "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360,
     "PST": -480, "PDT": -420, "AKST": -540, "AKDT": -480, "HST": -600,
 }
+# Further offsets (minutes) of abbreviations that several countries use.
+SHARED = {"CST": (480,), "IST": (60, 120), "BST": (360,), "EST": (600,), "EDT": (660,), "MST": (480,), "PST": (480,)}
 # Wordings that name a zone without its identifier, tried in this order.
 ZONE_WORDS = (
     (r"chicago|us[ /]central", "America/Chicago"),
@@ -135,13 +143,23 @@ def _month(c: Column) -> Column:
     return F.when(at > 0, at)
 
 
-def _offset_minutes(zone: Column) -> Column:
+def _zone_offsets(zone: Column) -> Column:
+    """Offsets (minutes) that a zone has in winter and in summer."""
+    moved = lambda day: F.expr(f"timestampdiff(MINUTE, TIMESTAMP_NTZ'{day} 12:00:00', convert_timezone('UTC', coalesce(_zone, 'UTC'), TIMESTAMP_NTZ'{day} 12:00:00'))").cast("int")
+    return F.when(zone.isNotNull(), F.array(moved("2020-01-01"), moved("2020-07-01")))
+
+
+def _offset_minutes(zone: Column, offsets: Column) -> Column:
+    """``offsets``: those of the source's own zone, which choose among the readings of a shared abbreviation."""
     z = F.upper(zone)
     digits = F.regexp_replace(F.substring(z, 2, 5), ":", "")
     sign = F.when(z.startswith("-"), -1).otherwise(1)
     numeric = sign * (F.substring(digits, 1, 2).try_cast("int") * 60 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)))
     names = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
-    return F.when(z.rlike(r"^[+-]"), numeric).otherwise(F.try_element_at(names, z))
+    usual = F.try_element_at(names, z)
+    shared = F.create_map(*[x for k, v in SHARED.items() for x in (F.lit(k), F.array(*[F.lit(m) for m in v]))])
+    fits = F.array_intersect(F.concat(F.array(usual), F.coalesce(F.try_element_at(shared, z), F.array().cast("array<int>"))), offsets)
+    return F.when(z.rlike(r"^[+-]"), numeric).when(z.isin(*SHARED), F.coalesce(F.get(fits, F.lit(0)), usual)).otherwise(usual)
 
 
 def _parts(df: DataFrame, column: str) -> DataFrame:
@@ -200,7 +218,7 @@ def _parts(df: DataFrame, column: str) -> DataFrame:
     return _fenced(
         out, [*df.columns, "_fmt"],
         first.alias("_dmy"), other.alias("_mdy"), epoch.alias("_epoch"),
-        _offset_minutes(zone_text).alias("_off"),
+        _offset_minutes(zone_text, F.col("_offsets") if "_offsets" in df.columns else F.lit(None).cast("array<int>")).alias("_off"),
         zone_text.isNotNull().alias("_zoned"),
         F.when(_known_zone(bracket), bracket).alias("_named"),
     )
@@ -239,14 +257,14 @@ def normalise_timestamps(
     params: TimestampParams = TimestampParams(),
     plain_utc: bool = True,
 ) -> DataFrame:
-    """Columns ``row_id``, ``ts_utc`` (TIMESTAMP_NTZ, UTC), ``status``, ``posterior`` for every row of ``df``.
+    """Columns ``row_id``, ``ts_utc`` (TIMESTAMP_NTZ, UTC), ``status``, ``posterior``, ``alternatives`` for every row of ``df``.
 
     ``order_by`` follows true time within a source. ``plain_utc=False`` leaves
     out rows whose text already is a real UTC time ``YYYY-MM-DDTHH:MM:SSZ``.
     """
     hints = source_hints(manifests, source)
     posteriors = date_order_posteriors(df, hints, column, source, params)
-    settings = hints.join(posteriors, "_src", "left")
+    settings = hints.withColumn("_offsets", _zone_offsets(F.col("_zone"))).join(posteriors, "_src", "left")
     rows = spread(df.select(F.col(row_id).alias("_id"), F.col(source).alias("_src"), F.col(order_by).cast("bigint").alias("_seq"), F.col(column).alias("_x")))
     canonical = F.coalesce(
         F.col("_x").rlike(r"^\d{4}-\d{2}-\d{2}T([01]\d|2[0-3]):[0-5]\d:[0-5]\dZ$") & F.substring("_x", 1, 10).try_cast("date").isNotNull() & (F.substring("_x", 1, 4) != "0000"),
@@ -265,23 +283,25 @@ def normalise_timestamps(
         zone = F.when(~F.col("_zoned") | F.col("_zoned").isNull(), F.coalesce("_named", "_zone"))
         read = read.select("_id", "_src", "_seq", "_x", "_fmt", "_off", "_zoned", "_epoch", wall.alias("_wall"), posterior.alias("_post"), off_format.alias("_offf"), unsure.alias("_unsure"), zone.alias("_tz"))
         shifted = F.when(F.col("_off").isNotNull(), F.col("_wall") - F.make_dt_interval(F.lit(0), F.lit(0), F.col("_off"), F.lit(0)))
-        local = F.when(~F.col("_zoned") & F.col("_tz").isNotNull(), F.convert_timezone(F.col("_tz"), F.lit("UTC"), F.col("_wall")))
-        read = read.withColumn("_local", local)
-        moving = ~F.col("_tz").rlike(r"^(UTC|[+-].*)$")
-        hour = F.expr("INTERVAL '1' HOUR")
+        walled = ~F.col("_zoned") & F.col("_tz").isNotNull()
+        moving = walled & ~F.col("_tz").rlike(r"^(UTC|[+-].*)$")
         there = lambda c: F.convert_timezone(F.lit("UTC"), F.col("_tz"), c)
-        # The conversion takes the first of two instants and moves a skipped wall clock forward; both show in the way back.
-        read = read.withColumns({"_back": F.when(moving, there(F.col("_local"))), "_hence": F.when(moving, there(F.col("_local") + hour))})
-        skipped = F.coalesce(F.col("_back") != F.col("_wall"), F.lit(False))
-        turned = F.col("_local") + (F.col("_wall") + hour - F.col("_hence"))
-        second = F.when((F.col("_hence") < F.col("_wall") + hour) & ~skipped, F.when(there(turned) == F.col("_wall"), turned))
+        by_offset_of = lambda c: F.when(moving, F.col("_wall") - (there(c) - c))
+        day = F.expr("INTERVAL '1' DAY")
+        read = read.withColumns({"_before": by_offset_of(F.col("_wall") - day), "_after": by_offset_of(F.col("_wall") + day)})
+        one = F.when(there(F.col("_before")) == F.col("_wall"), F.col("_before"))
+        two = F.when(there(F.col("_after")) == F.col("_wall"), F.col("_after"))
+        fixed = F.when(walled & ~moving, F.convert_timezone(F.col("_tz"), F.lit("UTC"), F.col("_wall")))
+        read = read.withColumns({"_local": F.coalesce(fixed, F.least(one, two)), "_later": F.greatest(one, two)})
+        skipped = moving & F.col("_wall").isNotNull() & F.col("_local").isNull()
+        second = F.when(F.col("_later") > F.col("_local"), F.col("_later"))
         first = F.coalesce(F.col("_epoch"), shifted, F.col("_local"))
         status = (
             F.when(F.col("_x").isNull() | (F.trim("_x") == ""), "missing")
             .when(F.col("_fmt").isNull() | (F.col("_wall").isNull() & F.col("_epoch").isNull()), "unreadable")
             .when(F.col("_offf"), "off_format")
             .when(F.col("_unsure"), "ambiguous")
-            .when(skipped, "skipped")
+            .when(F.coalesce(skipped, F.lit(False)), "skipped")
             .when(first.isNull(), F.when(F.col("_zoned"), "unreadable").otherwise("no_zone"))
             .otherwise("ok")
         )
@@ -317,16 +337,23 @@ def normalise_timestamps(
     })
     far = F.lit(1e18)
     gap = lambda a, b: F.coalesce(F.unix_micros(b.cast("timestamp")).cast("double") - F.unix_micros(a.cast("timestamp")), far)
-    second_pass = (
-        F.when(F.col("_p") >= F.col("_u1"), True)
-        .when(F.col("_n") <= F.col("_u0"), False)
-        .when(F.col("_falls") > 0, F.col("_fallen") > 0)
-        .when(F.col("_p") > F.col("_u0"), True)
-        .when(F.col("_n") < F.col("_u1"), False)
-        .otherwise(gap(F.col("_p"), F.col("_first")) > gap(F.col("_last"), F.col("_n")))
+    # By order where it decides (1 or 0), else by the distances in time to the rows around.
+    to_first, to_second = gap(F.col("_p"), F.col("_first")), gap(F.col("_last"), F.col("_n"))
+    later = (
+        F.when(F.col("_p") >= F.col("_u1"), 1.0)
+        .when(F.col("_n") <= F.col("_u0"), 0.0)
+        .when(F.col("_falls") > 0, F.when(F.col("_fallen") > 0, 1.0).otherwise(0.0))
+        .when(F.col("_p") > F.col("_u0"), 1.0)
+        .when(F.col("_n") < F.col("_u1"), 0.0)
+        .otherwise(F.coalesce(to_first / F.nullif(to_first + to_second, F.lit(0.0)), F.lit(0.5)))
     )
-    twice = amb.select("_id", F.when(second_pass, F.col("_u1")).otherwise(F.col("_u0")).alias("ts_utc"), "_status", "_post")
-    return single.unionByName(twice).select(F.col("_id").alias(row_id), "ts_utc", F.col("_status").alias("status"), F.col("_post").alias("posterior"))
+    twice = amb.withColumn("_later", later)
+    likely = F.when(F.col("_later") > 0.5, F.array("_u1", "_u0")).otherwise(F.array("_u0", "_u1"))
+    sureness = F.greatest(F.col("_later"), 1 - F.col("_later"))
+    clear = sureness >= params.min_posterior
+    twice = twice.select("_id", F.when(clear, likely[0]).alias("ts_utc"), F.when(clear, F.col("_status")).otherwise("ambiguous").alias("_status"), (F.col("_post") * sureness).alias("_post"), F.when(~clear, likely).alias("alternatives"))
+    single = single.withColumn("alternatives", F.lit(None).cast("array<timestamp_ntz>"))
+    return single.unionByName(twice).select(F.col("_id").alias(row_id), "ts_utc", F.col("_status").alias("status"), F.col("_post").alias("posterior"), "alternatives")
 
 
 def utc_text(ts: Column) -> Column:

@@ -19,7 +19,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def of(name: str, row_id: str, column: str, order_by: str) -> DataFrame:
         out = normalise_timestamps(table(spark, sf_dir, name), manifests, column, order_by=order_by, row_id=row_id, plain_utc=False)
-        return out.select(F.lit(name).alias("src"), F.col(row_id).alias("row_id"), F.coalesce(utc_text(F.col("ts_utc")), F.lit("none")).alias("ts_utc"))
+        # Every time that occurred has an instant here: of a repeated hour that nothing decides, the likelier.
+        instant = F.coalesce("ts_utc", F.get("alternatives", F.lit(0)))
+        return out.select(F.lit(name).alias("src"), F.col(row_id).alias("row_id"), F.coalesce(utc_text(instant), F.lit("none")).alias("ts_utc"))
 
     return of("bars", "bar_id", "timestamp", "seq_no").unionByName(of("second_bars", "row_id", "ts_event", "row_id"))
 

@@ -32,6 +32,11 @@ CASES = {
     "second": (CHICAGO, [], WALL[3:]),
     "first": (CHICAGO, [], WALL[:2]),
     "anchored": (CHICAGO + "; some values carry their own zone", [], ["2020-11-01 01:10:00", "2020-11-01T06:20:00Z", "2020-11-01 01:30:00"]),
+    "two_hours": ("naive; Antarctica/Troll", [], ["2020-10-25 00:59:00", "2020-10-25 01:30:00", "2020-10-25 02:30:00", "2020-10-25 01:30:00", "2020-10-25 02:30:00", "2020-10-25 03:00:00"]),
+    "lone": (CHICAGO, [], ["2020-11-01 01:30:00"]),
+    "between": (CHICAGO, [], ["2020-11-01 00:40:00", "2020-11-01 01:35:00", "2020-11-01 02:45:00"]),
+    "shared": ("naive; Asia/Shanghai", [], ["04-Mar-2020 05:06:07 CST", "2020-03-04 05:06:07"]),
+    "shared_us": (CHICAGO, [], ["04-Mar-2020 05:06:07 CST", "04-Mar-2020 05:06:07 IST"]),
     "half_hour": ("naive; Australia/Lord_Howe", [], ["2020-04-05 01:40:00", "2020-04-05 01:50:00", "2020-04-05 01:40:00", "2020-04-05 02:00:00"]),
 }
 
@@ -74,6 +79,9 @@ def test_zones_gaps_and_folds(read):
     assert clock(read("fold")) == ["05:59", "06:00", "06:59", "07:00", "07:59", "08:00"]
     assert clock(read("second")) == ["07:00", "07:59", "08:00"] and clock(read("first")) == ["05:59", "06:00"]
     assert clock(read("anchored")) == ["06:10", "06:20", "06:30"]
+    assert clock(read("two_hours")) == ["22:59", "23:30", "00:30", "01:30", "02:30", "03:00"]
+    assert read("lone") == [(None, "ambiguous")] and [x for _, x in read("between")] == ["ok", "ambiguous", "ok"]
+    assert clock(read("shared")) == ["21:06", "21:06"] and clock(read("shared_us")) == ["11:06", "23:36"]
     assert clock(read("half_hour")) == ["14:40", "14:50", "15:10", "15:30"]
 
 
