@@ -13,14 +13,29 @@ from pyspark.sql import functions as F
 from barloom.functions.market import close_enough
 from barloom.operators.bars import beside, resample
 
-FINDING = "check string, status string, message string, rows array<bigint>, family string, evidence string"
+FINDING = "check string, status string, message string, rows array<bigint>, family string, evidence string, classification string"
+# Verdicts.
+VERIFIED, FAILED, INCOMPLETE = "VERIFIED", "FAILED", "INCOMPLETE / UNVERIFIED"
+PROVEN = "PROVEN FAILURE"
 EVIDENCE = 20
 REASON_FORCED = r"(?i)FLAT|FORCED|TIME"
 
 
 def findings(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Rows (check, status, message[, rows, family, evidence])."""
-    return spark.createDataFrame([tuple([*r, *[None] * (6 - len(r))]) for r in rows], FINDING)
+    """Rows (check, status, message[, rows, family, evidence, classification])."""
+    return spark.createDataFrame([tuple([*r, *[None] * (7 - len(r))]) for r in rows], FINDING)
+
+
+def complete(found: DataFrame) -> DataFrame:
+    """All columns of a finding in order; null where the audit gives none."""
+    return found.select(*[(F.col(c) if c in found.columns else F.lit(None).cast(kind)).alias(c) for c, kind in (x.split() for x in FINDING.split(", "))])
+
+
+def together(*frames: DataFrame) -> DataFrame:
+    out, *rest = (complete(f) for f in frames)
+    for f in rest:
+        out = out.unionByName(f)
+    return out
 
 
 def _unpivot(counts: DataFrame, checks: list[tuple[str, str, str, str]], family: str) -> DataFrame:
@@ -46,6 +61,9 @@ def _bounded(df: DataFrame, bad: dict[str, Column], row: str) -> DataFrame:
     chunk = F.floor(F.col(row) / 65_536)
     parts = df.select(chunk.alias("_c"), F.col(row).alias("_r"), *[F.coalesce(c, F.lit(False)).alias(k) for k, c in bad.items()])
     small = parts.groupBy("_c").agg(*[F.count_if(F.col(k)).alias(k) for k in bad], *[first_rows(F.col(k), "_r").alias(f"{k}_rows") for k in bad])
+    # Lists of chunks meet in groups first, so no task holds those of all chunks.
+    merged = [F.slice(F.sort_array(F.flatten(F.collect_list(F.when(F.size(f"{k}_rows") > 0, F.col(f"{k}_rows"))))), 1, EVIDENCE).alias(f"{k}_rows") for k in bad]
+    small = small.groupBy(F.floor(F.col("_c") / 512)).agg(*[F.sum(k).alias(k) for k in bad], *merged)
     near = small.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in bad], *[F.slice(F.sort_array(F.flatten(F.collect_list(F.when(F.size(f"{k}_rows") > 0, F.col(f"{k}_rows"))))), 1, EVIDENCE).alias(f"{k}_rows") for k in bad])
     return near
 
@@ -81,7 +99,7 @@ def audit_bars(bars: DataFrame, *, ts: str = "bar_ts", row: str = "row", contrac
         extra.append(("volume", "WARN", "no volume column", None, "data_audit"))
     if not contract:
         extra.append(("contract_provenance", "UNVERIFIED", "no contract column", None, "contract_provenance"))
-        return out.unionByName(findings(spark, extra))
+        return together(out, findings(spark, extra))
     ids = bars.groupBy(ts).agg(F.count_distinct(contract).alias("_n"))
     switches = _previous(bars.withColumn("_cid", F.col(contract)), "_cid", row, [])
     more = beside(
@@ -89,7 +107,7 @@ def audit_bars(bars: DataFrame, *, ts: str = "bar_ts", row: str = "row", contrac
         switches.agg(F.count_if(F.coalesce(F.col("_prev") != F.col(contract), F.lit(False))).alias("switched")),
     )
     more = _unpivot(more, [("contract_id_missing", "lost", "FAIL", "missing contract ids"), ("contract_multiple_per_timestamp", "several", "FAIL", "times with several contracts"), ("contract_switches", "switched", "INFO", "changes of contract")], "contract_provenance")
-    return out.unionByName(more).unionByName(findings(spark, extra))
+    return together(out, more, findings(spark, extra))
 
 
 LEDGER_COLUMNS = ("entry_time", "exit_time", "entry_price", "exit_price")
@@ -98,7 +116,8 @@ LEDGER_COLUMNS = ("entry_time", "exit_time", "entry_price", "exit_price")
 def audit_ledger(trades: DataFrame, *, row: str = "row", strict_reentry: bool = True, tick: float | None = None, long_only: bool | None = None, required_deadline: bool = False) -> DataFrame:
     """Findings on a trade ledger. Optional checks run where their columns exist; overlap is checked against the adjacent earlier trade."""
     spark, have = trades.sparkSession, set(trades.columns)
-    missing = [c for c in LEDGER_COLUMNS if c not in have]
+    required = [*LEDGER_COLUMNS, *(["deadline"] if required_deadline else []), *(["direction"] if long_only else [])]
+    missing = [c for c in required if c not in have]
     if missing:
         return findings(spark, [("ledger_schema", "FAIL", f"missing columns: {missing}", None, "ledger")])
     # Overlap looks at neighbours in (entry, exit) order: months are ordered apart, and a month meets the last trade of the one before.
@@ -114,16 +133,14 @@ def audit_ledger(trades: DataFrame, *, row: str = "row", strict_reentry: bool =
         "ledger_timestamps": F.col("entry_time").isNull() | F.col("exit_time").isNull(),
         "exit_after_entry": F.col("exit_time") < F.col("entry_time"),
         "one_global_position": (F.col("entry_time") <= F.col("_prev")) if strict_reentry else (F.col("entry_time") < F.col("_prev")),
-        "trade_prices": ~fin("entry_price") | ~fin("exit_price"),
+        "trade_prices": ~fin("entry_price") | ~fin("exit_price") | (F.col("entry_price") <= 0) | (F.col("exit_price") <= 0),
     }
     if "signal_time" in have:
-        bad["entry_after_signal"] = F.col("signal_time").isNull() | (F.col("entry_time") <= F.col("signal_time"))
+        bad["entry_after_signal"] = F.col("entry_time") <= F.col("signal_time")
     if "deadline" in have:
-        bad["deadline"] = (F.col("exit_time") > F.col("deadline")) | (F.col("deadline").isNull() if required_deadline else F.lit(False))
-    elif required_deadline:
-        bad["deadline"] = F.lit(True)
+        bad["deadline"] = F.col("exit_time") > F.col("deadline")
     if "atr_source_end" in have:
-        bad["atr_causality"] = F.col("atr_source_end").isNull() | (F.col("atr_source_end") > F.col("entry_time"))
+        bad["atr_causality"] = F.col("atr_source_end") > F.col("entry_time")
     if "initial_risk" in have:
         bad["initial_risk"] = ~fin("initial_risk") | (F.col("initial_risk") <= 0)
     if {"gross_R", "cost_R", "net_R"} <= have:
@@ -138,10 +155,11 @@ def audit_ledger(trades: DataFrame, *, row: str = "row", strict_reentry: bool =
     out = _unpivot(counts, [(k, k, "FAIL", k.replace("_", " ") + " violated") for k in bad], "ledger")
     n = counts.select(F.lit("trade_count").alias("check"), F.lit("INFO").alias("status"), F.concat(F.col("_trades").cast("string"), F.lit(" trades")).alias("message"),
                       F.array().cast("array<bigint>").alias("rows"), F.lit("ledger").alias("family"), F.to_json(F.struct(F.col("_trades").alias("count"))).alias("evidence"))
-    return out.unionByName(n)
+    return together(findings(spark, [("ledger_schema", "PASS", "all required columns present", None, "ledger")]), out, n)
 
 
-RECONCILED = ("signal_time", "entry_time", "entry_price", "signal_z", "previous_z", "signal_keltner", "atr_source_start", "atr_source_end", "atr_value", "stop_price", "target_price", "initial_risk", "exit_time", "exit_price", "exit_reason", "net_R")
+# Columns of a ledger that are compared.
+RECONCILED = ("signal_time", "entry_time", "entry_price", "atr_source_start", "atr_source_end", "atr_value", "stop_price", "target_price", "initial_risk", "deadline", "exit_time", "exit_price", "exit_reason", "gross_R", "cost_R", "net_R")
 
 
 def numbered(df: DataFrame, order: list[str]) -> DataFrame:
@@ -151,8 +169,13 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     return with_positions(df.withColumn("_all", F.lit(1)), ["_all"], order[0], order[1:]).withColumn("_rn", F.col("_pos") + 1).drop("_pos", "_all")
 
 
-def compare_rows(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], atol: float = 1e-9) -> DataFrame:
-    """Per column the number of rows that differ, by position: numbers (and booleans) within ``atol``, others as text; rows missing on one side differ."""
+def beside_counts(frames: dict[str, DataFrame], *more: DataFrame) -> DataFrame:
+    """Row counts by name, beside frames of one row each."""
+    return beside(*[f.agg(F.count("*").alias(n)) for n, f in frames.items()], *more)
+
+
+def compared(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], atol: float = 1e-9) -> DataFrame:
+    """``keys`` and per column whether the row differs: numbers (and booleans) beyond ``atol``, others as text; rows missing on one side differ."""
     kinds = dict(a.dtypes)
 
     def differs(c: str) -> Column:
@@ -166,25 +189,36 @@ def compare_rows(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str]
 
     left, right = (x.select(*keys, *columns).withColumn("_there", F.lit(True)) for x in (a, b))
     joined = left.alias("a").join(right.alias("b"), [F.col(f"a.{k}") == F.col(f"b.{k}") for k in keys], "full")
-    counts = joined.agg(*[F.count_if(differs(c)).alias(c) for c in columns])
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("mismatches")) for c in columns])))
+    return joined.select(*[F.coalesce(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in keys], *[differs(c).alias(c) for c in columns])
+
+
+def compare_rows(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], atol: float = 1e-9) -> DataFrame:
+    """Per column the number of rows that differ; compared by the position ``_rn``, also the first of them."""
+    flagged = compared(a, b, keys, columns, atol)
+    if keys != ["_rn"]:
+        counts = flagged.agg(*[F.count_if(F.col(c)).alias(c) for c in columns])
+        return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("mismatches")) for c in columns])))
+    counts = _bounded(flagged, {c: F.col(c) for c in columns}, "_rn")
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("mismatches"), F.col(f"{c}_rows").alias("rows")) for c in columns])))
 
 
 def reconcile_ledgers(candidate: DataFrame, reference: DataFrame, *, columns: list[str] | None = None, order: list[str] = ["entry_time"], atol: float = 1e-9) -> DataFrame:
-    """Findings: missing columns, differing counts, and per column the mismatching rows by position."""
-    spark = candidate.sparkSession
+    """Findings of family ``reference_reconciliation``: one for the whole, and one for each column with its mismatching rows by position."""
+    spark, family = candidate.sparkSession, "reference_reconciliation"
     columns = [c for c in (columns or RECONCILED) if c in reference.columns]
     missing = [c for c in columns if c not in candidate.columns]
     if missing:
-        return findings(spark, [("reference_columns", "FAIL", f"missing columns: {missing}", None, "reference")])
+        return findings(spark, [(family, "FAIL", f"missing columns: {missing}", None, family)])
     a, b = numbered(candidate, order), numbered(reference, order)
     counts = beside(a.agg(F.count("*").alias("x")), b.agg(F.count("*").alias("y")))
-    count = counts.select(F.lit("reference_count").alias("check"), F.when(F.col("x") == F.col("y"), "PASS").otherwise("FAIL").alias("status"), F.format_string("%d and %d trades", "x", "y").alias("message"),
-                          F.array().cast("array<bigint>").alias("rows"), F.lit("reference").alias("family"), F.lit(None).cast("string").alias("evidence"))
     per = compare_rows(a, b, ["_rn"], columns, atol)
+    none = F.array().cast("array<bigint>")
     rows = per.select(F.concat(F.lit("reference_"), "column").alias("check"), F.when(F.col("mismatches") > 0, "FAIL").otherwise("PASS").alias("status"), F.format_string("%d mismatches", "mismatches").alias("message"),
-                      F.array().cast("array<bigint>").alias("rows"), F.lit("reference").alias("family"), F.to_json(F.struct("mismatches")).alias("evidence"))
-    return count.unionByName(rows)
+                      "rows", F.lit(family).alias("family"), F.to_json(F.struct("mismatches")).alias("evidence"), F.when(F.col("mismatches") > 0, PROVEN).alias("classification"))
+    bad = beside(counts, per.agg(F.count_if(F.col("mismatches") > 0).alias("z")))
+    whole = F.when(F.col("x") != F.col("y"), F.format_string("trade count mismatch: %d and %d", "x", "y")).when(F.col("z") > 0, F.format_string("%d columns differ", "z")).otherwise(F.format_string(f"%d trades agree in {len(columns)} columns", "x"))
+    total = bad.select(F.lit(family).alias("check"), F.when((F.col("x") == F.col("y")) & (F.col("z") == 0), "PASS").otherwise("FAIL").alias("status"), whole.alias("message"), none.alias("rows"), F.lit(family).alias("family"))
+    return together(total, rows)
 
 
 def selection_counts(selected: DataFrame, expected: DataFrame, *, ts: str = "timestamp", contract: str = "contract_id", expected_contract: str = "expected_contract_id") -> DataFrame:
@@ -234,7 +268,7 @@ def audit_contract_timeline(selected: DataFrame, *, ts: str = "timestamp", contr
         frames.append(expired_rows(selected, expiry, ts=ts, contract=contract).agg(F.count("*").alias("expired")))
         checks.append(("expired_contract", "expired", "FAIL", "rows of expired contracts"))
     out = _unpivot(beside(*frames), checks, "contract_provenance")
-    return out.unionByName(findings(spark, extra)) if extra else out
+    return together(out, findings(spark, extra)) if extra else out
 
 
 def compare_independent_selector(raw: DataFrame, selected: DataFrame, selector=None, **names: str) -> DataFrame:
@@ -298,16 +332,24 @@ def compare_aggregation(fine: DataFrame, coarse: DataFrame, *, keys: list[str],
     return joined.agg(F.count("*").alias("compared"), *[F.count_if(~close_enough(F.col(f"a_{c}").cast("double"), F.col(c).cast("double"), atol)).alias(f"{c}_mismatches") for c in columns])
 
 
+def audit_aggregation(fine: DataFrame, coarse: DataFrame, *, keys: list[str], interval: str = "1 minute", atol: float = 1e-9) -> DataFrame:
+    """Finding ``high_resolution_aggregation``: whether the fine bars make up the coarse ones."""
+    c = compare_aggregation(fine, coarse, keys=keys, interval=interval, atol=atol)
+    bad = sum((F.col(x) for x in c.columns if x.endswith("_mismatches")), F.lit(0))
+    status = F.when(F.col("compared") == 0, "UNVERIFIED").when(bad > 0, "FAIL").otherwise("PASS")
+    return complete(c.select(F.lit("high_resolution_aggregation").alias("check"), status.alias("status"), F.format_string("%d bars compared, %d cells differ", "compared", bad.cast("bigint")).alias("message"), F.lit("high_resolution").alias("family"), F.to_json(F.struct(*c.columns)).alias("evidence")))
+
+
 def verdict(found: DataFrame, mandatory: list[str] | None = None) -> DataFrame:
     """One row ``verdict``: FAILED, INCOMPLETE or VERIFIED. A mandatory name matches a finding's family or check; the family defaults to the check."""
     status = F.col("status")
     if not mandatory:
         s = found.agg(F.count_if(status == "FAIL").alias("f"), F.count_if(status.isin("UNVERIFIED", "WARN")).alias("u"))
-        return s.select(F.when(F.col("f") > 0, "FAILED").when(F.col("u") > 0, "INCOMPLETE").otherwise("VERIFIED").alias("verdict"))
+        return s.select(F.when(F.col("f") > 0, FAILED).when(F.col("u") > 0, INCOMPLETE).otherwise(VERIFIED).alias("verdict"))
     named = found.select("status", F.explode(F.array_distinct(F.array(F.coalesce("family", "check"), "check"))).alias("_name")).where(F.col("_name").isin(mandatory))
     per = named.groupBy("_name").agg(F.bool_or(status == "FAIL").alias("f"), F.bool_or(status.isin("UNVERIFIED", "WARN")).alias("u"), F.bool_or(status.isin("PASS", "INFO")).alias("p"))
     s = per.agg(F.count_if("f").alias("f"), F.count_if(F.col("u") | ~F.col("p")).alias("u"), F.count("*").alias("n"))
-    return s.select(F.when(F.col("f") > 0, "FAILED").when((F.col("u") > 0) | (F.col("n") < len(set(mandatory))), "INCOMPLETE").otherwise("VERIFIED").alias("verdict"))
+    return s.select(F.when(F.col("f") > 0, FAILED).when((F.col("u") > 0) | (F.col("n") < len(set(mandatory))), INCOMPLETE).otherwise(VERIFIED).alias("verdict"))
 
 
 def ledger_hash(trades: DataFrame, columns: list[str] = list(RECONCILED)) -> DataFrame:

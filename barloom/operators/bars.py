@@ -106,16 +106,30 @@ def validate_bars(df: DataFrame, *, ts: str = "bar_ts", row: str | None = None)
     return df.select(ts, *PRICES, "volume")
 
 
-def gaps(df: DataFrame, interval_us: int, *, ts: str, keys: list[str]) -> DataFrame:
-    """Per key the missing intervals between stored rows; gaps are never filled."""
+def _steps(df: DataFrame, ts: str, keys: list[str]) -> DataFrame:
+    """``keys``, ``ts``, ``_last`` and ``_step`` (microseconds) between successive times."""
     from barloom.operators.blocks import in_blocks, with_positions
 
     rows = in_blocks(with_positions(df.where(F.col(ts).isNotNull()).select(*keys, ts), keys, ts), 65_536, back=1)
     last = F.lag(ts).over(Window.partitionBy(*keys, "_block").orderBy("_pos"))
-    step = F.expr(f"timestampdiff(MICROSECOND, _last, {ts})")
-    spaced = rows.withColumn("_last", last).where("_core").withColumn("_step", step)
-    missing = F.greatest(F.floor(F.col("_step") / interval_us) - 1, F.lit(0)).cast("bigint")
-    return spaced.groupBy(*keys).agg(F.count_if(F.col("_step") > interval_us).alias("gaps"), F.coalesce(F.sum(F.when(F.col("_step") > interval_us, missing)), F.lit(0)).alias("missing_intervals"))
+    return rows.withColumn("_last", last).where("_core").withColumn("_step", F.expr(f"timestampdiff(MICROSECOND, _last, {ts})"))
+
+
+def _missing(interval_us: int) -> Column:
+    return F.when(F.col("_step") > interval_us, F.greatest(F.floor(F.col("_step") / interval_us) - 1, F.lit(0)).cast("bigint"))
+
+
+def gaps(df: DataFrame, interval_us: int, *, ts: str, keys: list[str]) -> DataFrame:
+    """Per key the missing intervals between stored rows; gaps are never filled."""
+    return _steps(df, ts, keys).groupBy(*keys).agg(F.count_if(F.col("_step") > interval_us).alias("gaps"), F.coalesce(F.sum(_missing(interval_us)), F.lit(0)).alias("missing_intervals"))
+
+
+def gap_samples(df: DataFrame, interval_us: int, *, ts: str, keys: list[str], most: int = 20) -> DataFrame:
+    """The first gaps by key and time: ``contract``, ``after``, ``before``, ``missing_intervals``."""
+    held = df if keys else df.withColumn("_one", F.lit("__series__"))
+    own = keys or ["_one"]
+    rows = _steps(held, ts, own).where(F.col("_step") > interval_us)
+    return rows.select(F.concat_ws("/", *[F.col(k).cast("string") for k in own]).alias("contract"), F.col("_last").alias("after"), F.col(ts).alias("before"), _missing(interval_us).alias("missing_intervals")).orderBy("contract", "after").limit(most)
 
 
 def symbol_conflicts(df: DataFrame, contract: str, symbol: str) -> DataFrame:
@@ -134,21 +148,28 @@ def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("members")).where("members > 1").withColumn("beyond_first", F.col("members") - 1)
 
 
-def audit_counters(df: DataFrame, interval_us: int, *, ts: str, contract: str | None = None, symbol: str | None = None, row: str | None = None, allow_nonpositive: bool = True) -> DataFrame:
-    """The data manifest's counters, one row."""
+def audit_counters(df: DataFrame, interval_us: int, *, ts: str, contract: str | None = None, symbol: str | None = None, row: str | None = None, allow_nonpositive: bool = True, order: bool = False) -> DataFrame:
+    """The data manifest's counters, one row. ``order`` adds ``out_of_order``: rows (by ``row``) whose time lies before that of the row stored ahead of them."""
     cells = [finite(F.col(c).cast("double")) for c in _cells(df)]
     o, h, lo, c = (finite(F.col(x).cast("double")) for x in PRICES)
     keys = [contract] if contract else []
-    first, last = (F.min_by(ts, row), F.max_by(ts, row)) if row else (F.min(ts), F.max(ts))
+    timed = F.when(F.col(ts).isNotNull(), F.col(row)) if row else None
+    first, last = (F.min_by(ts, timed), F.max_by(ts, timed)) if row else (F.min(ts), F.max(ts))
     base = df.agg(
         F.count("*").alias("rows"), first.alias("first_timestamp"), last.alias("final_timestamp"),
         F.count_if(malformed(df, ts, allow_nonpositive)).alias("malformed_rows"), sum((F.count_if(x.isNull()) for x in cells), F.lit(0)).alias("nonfinite_cells"),
         F.count_if(F.coalesce(F.least(o, h, lo, c) <= 0, F.lit(False))).alias("nonpositive_rows"),
         (F.count_if(F.coalesce(F.col("volume") == 0, F.lit(False))) if "volume" in df.columns else F.lit(0).cast("bigint")).alias("zero_volume_rows"),
     )
-    dup = df.groupBy(*keys, ts).agg((F.count("*") - 1).alias("_d")).agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("duplicate_rows"))
-    gap = gaps(df.withColumn("_one", F.lit(1)), interval_us, ts=ts, keys=keys or ["_one"]).agg(F.coalesce(F.sum("missing_intervals"), F.lit(0)).alias("missing_intervals"))
-    out = beside(base, dup, gap)
+    # One row a contract and time, from which both repeated rows and gaps come.
+    held = df if keys else df.withColumn("_one", F.lit(1))
+    own = keys or ["_one"]
+    times = held.groupBy(*own, ts).agg((F.count("*") - 1).alias("_d"))
+    dup = times.agg(F.coalesce(F.sum("_d"), F.lit(0)).alias("duplicate_rows"))
+    gap = gaps(times, interval_us, ts=ts, keys=own).agg(F.coalesce(F.sum("missing_intervals"), F.lit(0)).alias("missing_intervals"))
+    parts = [base, dup, gap]
     if contract and symbol:
-        out = beside(out, symbol_conflicts(df, contract, symbol).agg(F.coalesce(F.sum("conflicts"), F.lit(0)).alias("symbol_conflicts")))
-    return out
+        parts.append(symbol_conflicts(df, contract, symbol).agg(F.coalesce(F.sum("conflicts"), F.lit(0)).alias("symbol_conflicts")))
+    if order and row:
+        parts.append(_previous(df.where(F.col(ts).isNotNull()).select(ts, row), ts, row, []).agg(F.count_if(F.col(ts) < F.col("_prev")).alias("out_of_order")))
+    return beside(*parts)

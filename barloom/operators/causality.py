@@ -11,12 +11,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.operators.audits import REASON_FORCED, compare_rows, findings
+from barloom.operators.audits import PROVEN, REASON_FORCED, compared, findings, together
 from barloom.operators.indicators import SERIES
+from barloom.session import cut_lineage
 
+# Decision stages in order, each with its time column; names of time columns; cutoffs by mode.
 STAGES = {"features": "bar_ts", "signals": "bar_ts", "eligible_signals": "signal_time", "proposed_entries": "entry_time", "accepted_entries": "entry_time", "trades": "entry_time"}
 TIME_COLUMNS = ("decision_time", "timestamp", "bar_ts", "signal_time", "entry_time", "exit_time")
 LIMITS = {"fast": 6, "standard": 16, "strong": 28}
@@ -49,15 +51,18 @@ def mutate_future(bars: DataFrame, cutoff: str, *, keys: list[str] | None = None
     return bars.where(F.col(ts) < at).unionByName(moved.select(*bars.columns))
 
 
-def known_before(frame: DataFrame, stage: str, cutoff: str) -> DataFrame:
-    """Rows known before ``cutoff``. A trade that a deadline may force out is known at the later of exit and deadline."""
-    ts = time_column(frame, stage)
-    known = F.col(ts)
+def known_at(frame: DataFrame, stage: str) -> Column:
+    """When a row is known. A trade that a deadline may force out is known at the later of exit and deadline."""
     if stage == "trades" and "exit_time" in frame.columns:
-        known = F.col("exit_time")
         if {"deadline", "exit_reason"} <= set(frame.columns):
-            known = F.when(F.coalesce(F.col("exit_reason").rlike(REASON_FORCED), F.lit(False)), F.greatest("exit_time", "deadline")).otherwise(F.col("exit_time"))
-    return frame.where(known < F.expr(cutoff))
+            return F.when(F.coalesce(F.col("exit_reason").rlike(REASON_FORCED), F.lit(False)), F.greatest("exit_time", "deadline")).otherwise(F.col("exit_time"))
+        return F.col("exit_time")
+    return F.col(time_column(frame, stage))
+
+
+def known_before(frame: DataFrame, stage: str, cutoff: str) -> DataFrame:
+    """Rows known before ``cutoff``."""
+    return frame.where(known_at(frame, stage) < F.expr(cutoff))
 
 
 def time_column(frame: DataFrame, stage: str) -> str:
@@ -114,42 +119,82 @@ def scenario_bars(bars: DataFrame, cutoffs: list) -> DataFrame:
 
 
 def compare_scenarios(stages: dict[str, DataFrame], cutoffs: list, atol: float = 1e-9) -> DataFrame:
-    """Per stage and scenario: rows known before the cutoff in the full run, and columns that differ. ``stages`` carry the scenario in the series key."""
-    out = None
+    """Per stage and scenario: rows known before the cutoff in the full run, and columns that differ. ``stages`` carry the scenario in the series key.
+
+    A stage is computed once, and all scenarios are compared in one join and one aggregation.
+    """
+    spark = next(iter(stages.values())).sparkSession
+    names = [(f"{kind}_{k}", k, label) for k in range(len(cutoffs)) for kind, label in (("cut", "truncation"), ("alter", "future_mutation"))]
+    times = F.array(*[F.struct(F.lit(n).alias("_scenario"), F.expr(f"TIMESTAMP_NTZ'{cutoffs[k]:%Y-%m-%d %H:%M:%S.%f}'").alias("_cutoff")) for n, k, _ in names])
+    every = spark.createDataFrame(names, "_scenario string, cutoff int, kind string")
+    parts = []
     for stage, frame in stages.items():
         base, scenario = F.substring_index(SERIES, "\x1f", 1), F.substring_index(SERIES, "\x1f", -1)
-        rows = frame.withColumn("_base", base).withColumn("_scenario", scenario).drop(SERIES)
-        full = rows.where(F.col("_scenario") == "full").drop("_scenario")
+        rows = cut_lineage(frame.withColumns({"_base": base, "_of": scenario, "_known": known_at(frame, stage)}).drop(SERIES))
         ts = time_column(frame, stage)
         columns = [c for c in rows.columns if not c.startswith("_") and c not in (ts, "next_ts", "next_open")]
-        for k, c in enumerate(cutoffs):
-            at = f"TIMESTAMP_NTZ'{c:%Y-%m-%d %H:%M:%S.%f}'"
-            for kind in ("cut", "alter"):
-                other = rows.where(F.col("_scenario") == f"{kind}_{k}").drop("_scenario")
-                diff = compare_rows(known_before(full, stage, at), known_before(other, stage, at), ["_base", ts], columns, atol)
-                diff = diff.agg(F.count_if(F.col("mismatches") > 0).alias("columns_differing"), F.coalesce(F.max("mismatches"), F.lit(0)).alias("rows_differing"))
-                one = diff.select(F.lit(stage).alias("stage"), F.lit("truncation" if kind == "cut" else "future_mutation").alias("kind"), F.lit(k).alias("cutoff"), "columns_differing", "rows_differing")
-                out = one if out is None else out.unionByName(one)
+        full = rows.where(F.col("_of") == "full").select("*", F.inline(F.filter(times, lambda x: F.col("_known") < x["_cutoff"])))
+        other = rows.where(F.col("_of") != "full").select("*", F.inline(F.filter(times, lambda x: (F.col("_of") == x["_scenario"]) & (F.col("_known") < x["_cutoff"]))))
+        pairs = compared(full, other, ["_scenario", "_base", ts], columns, atol)
+        counts = pairs.groupBy("_scenario").agg(*[F.count_if(F.col(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+        n = [F.coalesce(F.col(f"c{i}"), F.lit(0)) for i in range(len(columns))]
+        parts.append(every.join(counts, "_scenario", "left").select(
+            F.lit(stage).alias("stage"), "kind", "cutoff", sum(((x > 0).cast("bigint") for x in n), F.lit(0).cast("bigint")).alias("columns_differing"), (F.greatest(*n) if len(n) > 1 else n[0] if n else F.lit(0).cast("bigint")).alias("rows_differing"),
+        ))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     return out
 
 
-def audit_causality(run: Callable[[DataFrame], dict[str, DataFrame]], bars: DataFrame, *, mode: str = "standard", seed: int = 1729, cutoffs: list | None = None, batch: int = 8, atol: float = 1e-9) -> DataFrame:
-    """Findings ``truncation_<stage>`` and ``future_mutation_<stage>`` (family causality). ``run``: bars -> stages, separately for each series."""
+def check_stages(stages: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Known stages in order; anything but frames is refused."""
+    for name, frame in stages.items():
+        if not isinstance(frame, DataFrame):
+            raise TypeError(f"stage {name} is no DataFrame")
+    return {s: stages[s] for s in STAGES if s in stages}
+
+
+def causality_coverage(stages: list[str], cutoffs: list, mode: str, seed: int) -> dict:
+    # Keys of the coverage record.
+    n = len(stages) * len(cutoffs)
+    return {"mode": mode, "seed": seed, "cutoff_count": len(cutoffs), "cutoffs": [f"{c.isoformat()}+00:00" for c in cutoffs], "stages": stages, "truncation_comparisons": n, "mutation_comparisons": n}
+
+
+def audit_with_coverage(run: Callable[[DataFrame], dict[str, DataFrame]], bars: DataFrame, *, mode: str = "standard", seed: int = 1729, cutoffs: list | None = None, batch: int = 8, atol: float = 1e-9) -> tuple[DataFrame, dict]:
+    """Findings ``truncation_<stage>`` and ``future_mutation_<stage>``, and what was compared. ``run``: bars -> stages, separately for each series."""
     spark = bars.sparkSession
+    whole = check_stages(run(bars))
     if cutoffs is None:
         # The strategy's first events of the full run.
-        stages = run(bars)
-        events = {s: [r[0] for r in f.select(time_column(f, s)).orderBy(time_column(f, s)).limit(8).collect()] for s, f in stages.items() if s != "features"}
+        events = {s: [r[0] for r in f.select(time_column(f, s)).orderBy(time_column(f, s)).limit(8).collect()] for s, f in whole.items() if s != "features"}
         cutoffs = generate_cutoffs(bars, events, mode=mode, seed=seed)
+    coverage = causality_coverage(list(whole), cutoffs, mode, seed)
     if not cutoffs:
-        return findings(spark, [("causality", "UNVERIFIED", "no cutoffs", None, "causality")])
-    out = None
-    for k in range(0, len(cutoffs), batch):
-        part = cutoffs[k : k + batch]
-        one = compare_scenarios(run(scenario_bars(bars, part)), part, atol)
-        out = one if out is None else out.unionByName(one)
+        return findings(spark, [("causality", "UNVERIFIED", "no cutoffs", None, "causality")]), coverage
+    parts = [compare_scenarios(check_stages(run(scenario_bars(bars, cutoffs[k : k + batch]))), cutoffs[k : k + batch], atol) for k in range(0, len(cutoffs), batch)]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
     per = out.groupBy("stage", "kind").agg(F.count("*").alias("n"), F.count_if((F.col("columns_differing") > 0) | (F.col("rows_differing") > 0)).alias("bad"))
-    return per.select(
+    found = per.select(
         F.concat_ws("_", "kind", "stage").alias("check"), F.when(F.col("bad") > 0, "FAIL").otherwise("PASS").alias("status"), F.format_string("%d of %d cutoffs differ", "bad", "n").alias("message"),
-        F.array().cast("array<bigint>").alias("rows"), F.when(F.col("stage") == "features", "feature_causality").otherwise("causality").alias("family"), F.to_json(F.struct("n", "bad")).alias("evidence"),
+        F.array().cast("array<bigint>").alias("rows"), F.when(F.col("stage") == "features", "feature_causality").otherwise("causality").alias("family"), F.to_json(F.struct("n", "bad")).alias("evidence"), F.when(F.col("bad") > 0, PROVEN).alias("classification"),
     )
+    if "features" not in whole:
+        found = together(found, findings(spark, [("feature_causality", "UNVERIFIED", "no features stage is offered", None, "feature_causality")]))
+    return found, coverage
+
+
+def audit_causality(run: Callable[[DataFrame], dict[str, DataFrame]], bars: DataFrame, **options) -> DataFrame:
+    """The findings of ``audit_with_coverage`` alone."""
+    return audit_with_coverage(run, bars, **options)[0]
+
+
+def audit_ledger_causality(run: Callable[[DataFrame], DataFrame], bars: DataFrame, cutoffs: list | None = None) -> DataFrame:
+    """For engines that give a ledger only: findings ``truncation_invariance`` and ``future_mutation``; fewer than 300 bars are too few to choose cutoffs from."""
+    if cutoffs is None and bars.limit(300).count() < 300:
+        return findings(bars.sparkSession, [("causality", "WARN", "too few bars for a truncation audit", None, "causality")])
+    found = audit_causality(lambda b: {"trades": run(b)}, bars, mode="fast", cutoffs=cutoffs)
+    name = F.when(F.col("check") == "truncation_trades", "truncation_invariance").when(F.col("check") == "future_mutation_trades", "future_mutation").otherwise(F.col("check"))
+    return found.withColumn("check", name)

@@ -1,130 +1,139 @@
 """Static scan of strategy sources for idioms that may look ahead, in pandas and in Spark.
 
-``scan_text`` walks the syntax tree with one table of rules; ``scan_table`` runs
-it as a Python table function over a DataFrame of sources; ``scan_paths`` over
-files. Severities: PROVEN becomes FAIL, HIGH becomes WARN, INFO stays INFO.
+``scan_text`` applies tables of rules to the nodes of a syntax tree, and a few
+patterns to the text for what the tree doesn't show; ``scan_table`` runs it as a
+Python table function over a DataFrame of sources; ``scan_paths`` over files.
+Classes: a proven failure becomes FAIL, a high risk WARN, INFO stays INFO.
 """
 
 from __future__ import annotations
 
 import ast
+import re
+from collections.abc import Iterator
 from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-STATUS = {"PROVEN": "FAIL", "HIGH": "WARN", "INFO": "INFO"}
-#: Methods that are reported wherever they are called.
-ALWAYS = {
-    "bfill": ("backfill", "HIGH"), "backfill": ("backfill", "HIGH"), "interpolate": ("interpolate", "HIGH"), "fit": ("full_sample_fit", "HIGH"), "fit_transform": ("full_sample_fit", "HIGH"),
-    "sort_values": ("silent_sort", "HIGH"), "sort_index": ("silent_sort", "HIGH"), "orderBy": ("silent_sort", "HIGH"), "sort": ("silent_sort", "HIGH"),
-    "drop_duplicates": ("drop_duplicates", "HIGH"), "dropDuplicates": ("drop_duplicates", "HIGH"),
-    "mean": ("full_sample_statistic", "INFO"), "std": ("full_sample_statistic", "INFO"), "quantile": ("full_sample_statistic", "INFO"), "median": ("full_sample_statistic", "INFO"),
-    "max": ("full_sample_statistic", "INFO"), "min": ("full_sample_statistic", "INFO"), "reversed": ("reverse_iteration", "INFO"), "lead": ("spark_lead", "HIGH"),
+# Classes of findings and the status of each.
+PROVEN, HIGH, INFO = "PROVEN FAILURE", "HIGH-RISK / MANUAL REVIEW", "INFO"
+STATUS = {PROVEN: "FAIL", HIGH: "WARN", INFO: "INFO"}
+# Rules and their classes.
+RULES = {
+    "negative_shift": HIGH, "negative_roll": HIGH, "centered_rolling": HIGH, "backfill": HIGH, "fillna_bfill": HIGH, "forward_asof": HIGH, "silent_sort": HIGH,
+    "drop_duplicates": HIGH, "interpolate": HIGH, "full_sample_fit": HIGH, "full_sample_statistic": INFO, "reverse_iteration": INFO, "future_iloc": HIGH,
+    "future_slice": HIGH, "reverse_slice": INFO, "future_label": INFO, "future_timestamp_join": INFO, "spark_lead": HIGH, "spark_future_frame": HIGH,
 }
+# Calls that are reported wherever they stand.
+CALLS = {
+    "backfill": ("bfill", "backfill"), "silent_sort": ("sort_index", "sort_values", "orderBy"), "drop_duplicates": ("drop_duplicates", "dropDuplicates"),
+    "interpolate": ("interpolate",), "full_sample_fit": ("fit", "fit_transform"), "reverse_iteration": ("reversed", "reverse"), "spark_lead": ("lead",),
+}
+STATISTICS = ("mean", "std", "quantile", "median")
+WINDOWED = ("rolling", "expanding", "groupby", "window")
+LABELS = ("future_return", "forward_return", "future_label", "target_return")
+#: Patterns of the text, for sources with parts the tree doesn't show.
+TEXT = {"negative_shift": r"\.shift\s*\(\s*-\d", "backfill": r"\.(bfill|backfill)\s*\(", "interpolate": r"\.interpolate\s*\("}
+
+
+def _value(node: ast.AST | None):
+    """A literal's value; null for anything else."""
+    try:
+        return ast.literal_eval(node) if node is not None else None
+    except (ValueError, TypeError, SyntaxError):
+        return None
+
+
+def _below_zero(node: ast.AST | None) -> bool:
+    v = _value(node)
+    return isinstance(v, (int, float)) and v < 0
+
+
+def _steps(node: ast.AST | None) -> tuple[float, ast.AST | None]:
+    """Of a sum with a literal: the literal and the other term."""
+    if isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add):
+        for own, other in ((node.right, node.left), (node.left, node.right)):
+            if isinstance(v := _value(own), (int, float)):
+                return v, other
+    return 0, None
+
+
+def _call(node: ast.Call) -> Iterator[str]:
+    text = ast.unparse(node.func)
+    owner, _, name = text.rpartition(".")
+    given = {k.arg: k.value for k in node.keywords}
+    at = lambda i, word: node.args[i] if len(node.args) > i else given.get(word)
+    yield from (rule for rule, names in CALLS.items() if name in names)
+    if name in STATISTICS and not any(w in owner.lower() for w in WINDOWED):
+        yield "full_sample_statistic"
+    ahead = {
+        "negative_shift": (name == "shift" and _below_zero(at(0, "periods"))) or (name == "lag" and _below_zero(at(1, "offset"))),
+        "negative_roll": name == "roll" and _below_zero(at(1, "shift")),
+        "centered_rolling": name == "rolling" and _value(given.get("center")) is True,
+        "fillna_bfill": name == "fillna" and any(w in ast.unparse(node).lower() for w in ("bfill", "backfill")),
+        "forward_asof": name == "merge_asof" and _value(given.get("direction")) == "forward",
+        "spark_future_frame": name in ("rowsBetween", "rangeBetween") and len(node.args) == 2 and ((_value(node.args[1]) or 0) > 0 or ast.unparse(node.args[1]).endswith("unboundedFollowing")),
+    }
+    yield from (rule for rule, there in ahead.items() if there)
+
+
+def _subscript(node: ast.Subscript) -> Iterator[str]:
+    part = node.slice
+    if not isinstance(part, ast.Slice):
+        if ast.unparse(node.value).endswith(("iloc", "iat")) and _steps(part)[0] > 0:
+            yield "future_iloc"
+        return
+    # An upper bound one ahead still ends with the present row.
+    step, base = _steps(part.lower)
+    if (step > 0 and isinstance(base, ast.Name)) or _steps(part.upper)[0] > 1:
+        yield "future_slice"
+    if _below_zero(part.step):
+        yield "reverse_slice"
+
+
+def _assign(node: ast.Assign) -> Iterator[str]:
+    if any(w in ast.unparse(t).lower() for t in node.targets for w in LABELS):
+        yield "future_label"
+
+
+def _compare(node: ast.Compare) -> Iterator[str]:
+    sides = [ast.unparse(x).lower() for x in (node.left, *node.comparators)]
+    later = any(isinstance(op, (ast.Gt, ast.GtE)) for op in node.ops)
+    if later and any("timestamp" in s for s in sides):
+        yield "future_timestamp_join"
 
 
-def _name(node: ast.AST) -> str:
-    return node.attr if isinstance(node, ast.Attribute) else node.id if isinstance(node, ast.Name) else ""
-
-
-def _number(node: ast.AST | None) -> float | None:
-    if isinstance(node, ast.Constant) and isinstance(node.value, (int, float)) and not isinstance(node.value, bool):
-        return float(node.value)
-    if isinstance(node, ast.UnaryOp) and isinstance(node.op, ast.USub):
-        inner = _number(node.operand)
-        return None if inner is None else -inner
-    return None
-
-
-def _ahead(node: ast.AST | None, least: float = 1) -> bool:
-    """``name + k`` with k of at least ``least``."""
-    return isinstance(node, ast.BinOp) and isinstance(node.op, ast.Add) and (_number(node.right) or 0) >= least
-
-
-class _Visitor(ast.NodeVisitor):
-    def __init__(self) -> None:
-        self.found: set[tuple[str, str, int]] = set()
-
-    def add(self, name: str, severity: str, node: ast.AST) -> None:
-        self.found.add((name, severity, getattr(node, "lineno", 0)))
-
-    def visit_Call(self, node: ast.Call) -> None:
-        name = _name(node.func)
-        words = {k.arg: k.value for k in node.keywords}
-        first = node.args[0] if node.args else None
-        text = lambda v: v.value if isinstance(v, ast.Constant) else None
-        if name in ALWAYS:
-            self.add(*ALWAYS[name], node)
-        if name == "shift" and (_number(first if first is not None else words.get("periods")) or 0) < 0:
-            self.add("negative_shift", "HIGH", node)
-        if name == "lag" and any((_number(a) or 0) < 0 for a in [*node.args[1:2], words.get("offset")] if a is not None):
-            self.add("negative_shift", "HIGH", node)
-        if name == "roll" and (_number(node.args[1] if len(node.args) > 1 else words.get("shift")) or 0) < 0:
-            self.add("negative_roll", "HIGH", node)
-        if name == "rolling" and text(words.get("center")) is True:
-            self.add("centered_rolling", "HIGH", node)
-        if name == "fillna" and text(words.get("method")) in ("bfill", "backfill"):
-            self.add("fillna_bfill", "HIGH", node)
-        if name == "merge_asof" and text(words.get("direction")) in ("forward", "nearest"):
-            self.add("forward_asof", "HIGH", node)
-        if name in ("rowsBetween", "rangeBetween") and len(node.args) == 2:
-            end = node.args[1]
-            if (_number(end) or 0) > 0 or _name(end) == "unboundedFollowing":
-                self.add("spark_future_frame", "HIGH", node)
-        self.generic_visit(node)
-
-    def visit_Subscript(self, node: ast.Subscript) -> None:
-        part = node.slice
-        if isinstance(part, ast.Slice):
-            if (_number(part.step) or 0) < 0:
-                self.add("reverse_slice", "INFO", node)
-            # An upper bound one ahead still ends with the present row.
-            if _ahead(part.upper, 2) or _ahead(part.lower, 1):
-                self.add("future_slice", "HIGH", node)
-        elif _name(node.value) in ("iloc", "iat") and _ahead(part):
-            self.add("future_iloc", "HIGH", node)
-        self.generic_visit(node)
-
-    def visit_Assign(self, node: ast.Assign) -> None:
-        for target in node.targets:
-            label = _name(target) or (target.slice.value if isinstance(target, ast.Subscript) and isinstance(target.slice, ast.Constant) else "")
-            if isinstance(label, str) and any(w in label.lower() for w in ("future", "forward_return", "next_close", "lookahead")):
-                self.add("future_label", "HIGH", node)
-        self.generic_visit(node)
-
-    def visit_Compare(self, node: ast.Compare) -> None:
-        names = [_name(x).lower() for x in [node.left, *node.comparators]]
-        if any("future" in n or n.startswith("next_t") for n in names) and any("time" in n or "ts" in n for n in names):
-            self.add("future_timestamp_join", "HIGH", node)
-        self.generic_visit(node)
+NODES = {ast.Call: _call, ast.Subscript: _subscript, ast.Assign: _assign, ast.Compare: _compare}
 
 
 def scan_text(source: str) -> list[tuple[str, str, int]]:
-    """(rule, status, line), ordered by line; a syntax error is one FAIL."""
+    """(check, class, line), ordered by line; a syntax error is one proven failure."""
     try:
         tree = ast.parse(source)
-    except SyntaxError as e:
-        return [("static_syntax", "FAIL", e.lineno or 0)]
-    visitor = _Visitor()
-    visitor.visit(tree)
-    return sorted(((n, STATUS[s], at) for n, s, at in visitor.found), key=lambda x: (x[2], x[0]))
+    except (SyntaxError, ValueError) as e:
+        return [("static_syntax", PROVEN, getattr(e, "lineno", 0) or 0)]
+    found = {(rule, node.lineno) for node in ast.walk(tree) if type(node) in NODES for rule in NODES[type(node)](node)}
+    for rule, pattern in TEXT.items():
+        found |= {(rule, source.count("\n", 0, m.start()) + 1) for m in re.finditer(pattern, source, re.IGNORECASE)}
+    return sorted(((f"static_{rule}", RULES[rule], line) for rule, line in found), key=lambda x: (x[2], x[0]))
 
 
 def scan_paths(path: str | Path) -> list[tuple]:
     """Finding rows of one file or of all Python files below a folder."""
     root = Path(path)
+    row = lambda check, kind, message, lines=None, status=None: (check, status or STATUS[kind], message, lines, "static_scan", None, kind)
     if not root.exists():
-        return [("static_path", "FAIL", f"no such path: {root}", None, "static_scan")]
+        return [row("static_source", PROVEN, f"no such path: {root}")]
     out = []
     for file in [root] if root.is_file() else sorted(root.rglob("*.py")):
         try:
-            text = file.read_text(encoding="utf-8")
-        except (OSError, UnicodeDecodeError) as e:
-            out.append(("static_read", "WARN", f"{file}: {e}", None, "static_scan"))
+            text = file.read_text(encoding="utf-8", errors="replace")
+        except OSError as e:
+            out.append(row("static_source", HIGH, f"{file}: {e}"))
             continue
-        out += [(rule, status, f"{file.name}:{line}", [line], "static_scan") for rule, status, line in scan_text(text)]
-    return out or [("static_scan", "PASS", "nothing found; a clean scan proves nothing", None, "static_scan")]
+        out += [row(check, kind, f"{file}: line {line}", [line]) for check, kind, line in scan_text(text)]
+    return out or [row("static_scan", INFO, "nothing found; a clean scan proves nothing", status="PASS")]
 
 
 def scan_table(sources: DataFrame, name: str = "path", text: str = "source") -> DataFrame:
@@ -134,7 +143,7 @@ def scan_table(sources: DataFrame, name: str = "path", text: str = "source") ->
     @udtf(returnType="rule string, status string, line int")
     class Scan:
         def eval(self, source: str):
-            yield from scan_text(source or "")
+            yield from ((check, STATUS[kind], line) for check, kind, line in scan_text(source or ""))
 
     spark = sources.sparkSession
     spark.udtf.register("barloom_static_scan", Scan)

@@ -167,27 +167,41 @@ def bars_by_contract(spark, d):
     return rounded(contract_bars(spark, d).select("event_type", "bar_ts", *PRICE_COLS, "volume"))
 
 
-@query("""WITH e AS (SELECT *, lag(ts) OVER (ORDER BY event_id) AS prev FROM events)
-SELECT count(*) AS rows, count(*) FILTER (ts IS NULL) AS empty_timestamp, count(*) FILTER (ts < prev) AS not_chronological,
-  count(ts) - count(DISTINCT ts) AS duplicate_timestamp, 4 * count(*) FILTER (value IS NULL) + count(*) FILTER (value IS NULL) AS nonfinite, count(*) FILTER (value <= 0) AS nonpositive_price,
-  count(*) FILTER (trunc(value) < 0) AS negative_volume, 0::BIGINT AS high_below_low, 0::BIGINT AS open_outside, 0::BIGINT AS close_outside FROM e""")
+_MINUTE = "TIMESTAMP '2020-01-01 00:00:00' + INTERVAL 1 MINUTE * seq_no"
+
+
+def stored_bars(spark: SparkSession, d: str) -> DataFrame:
+    """The delivered bars, dirt and redelivered rows included, each at the minute of its place in the series; stored in the order of ``bar_id``."""
+    start = F.expr("TIMESTAMP_NTZ'2020-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.col("seq_no").cast("int"), F.lit(0))
+    return table(spark, d, "bars").withColumns({"bar_ts": start, "contract": F.concat_ws("/", F.col("publisher_id").cast("string"), F.col("instrument_id").cast("string"))})
+
+
+_STORED = f"b AS (SELECT *, {_MINUTE} AS ts, concat_ws('/', publisher_id, instrument_id) AS contract FROM bars)"
+_BROKEN = "coalesce(high < low OR open < low OR open > high OR close < low OR close > high, false)"
+
+
+@query(f"""WITH {_STORED}, e AS (SELECT *, lag(ts) OVER (PARTITION BY contract ORDER BY bar_id) AS prev FROM b), k AS (SELECT contract, count(ts) - count(DISTINCT ts) AS dup FROM b GROUP BY 1)
+SELECT contract, count(*) AS rows, count(*) FILTER (ts IS NULL) AS empty_timestamp, count(*) FILTER (ts < prev) AS not_chronological, any_value(dup) AS duplicate_timestamp,
+  5 * count(*) - count(open) - count(high) - count(low) - count(close) - count(volume) AS nonfinite, count(*) FILTER (least(open, high, low, close) <= 0) AS nonpositive_price, count(*) FILTER (volume < 0) AS negative_volume,
+  count(*) FILTER (high < low) AS high_below_low, count(*) FILTER (open < low OR open > high) AS open_outside, count(*) FILTER (close < low OR close > high) AS close_outside FROM e JOIN k USING (contract) GROUP BY 1""")
 def bar_validation_counts(spark, d):
-    raw = ticks(spark, d)
-    return B.validation_counts(raw.select("bar_ts", "event_id", *[(F.col(c) - 100).alias(c) for c in PRICE_COLS], "volume"), row="event_id")
+    return B.validation_counts(stored_bars(spark, d), row="bar_id", keys=["contract"])
 
 
-_MANIFEST = """WITH g AS (SELECT event_type, date_diff('microsecond', lag(ts) OVER (PARTITION BY event_type ORDER BY ts), ts) AS step FROM events)
-SELECT (SELECT count(*) FROM events) AS rows, (SELECT arg_min(ts, event_id) FROM events) AS first_timestamp, (SELECT arg_max(ts, event_id) FROM events) AS final_timestamp,
-  (SELECT count(*) FROM events WHERE ts IS NULL OR value IS NULL OR trunc(value) < 0) AS malformed_rows, (SELECT 5 * count(*) FROM events WHERE value IS NULL) AS nonfinite_cells,
-  (SELECT count(*) FROM events WHERE 100 + value <= 0) AS nonpositive_rows, (SELECT count(*) FROM events WHERE trunc(value) = 0) AS zero_volume_rows,
-  (SELECT count(*) - count(DISTINCT (event_type, ts)) FROM events) AS duplicate_rows,
+_MANIFEST = f"""WITH {_STORED}, t AS (SELECT DISTINCT contract, ts FROM b), g AS (SELECT date_diff('microsecond', lag(ts) OVER (PARTITION BY contract ORDER BY ts), ts) AS step FROM t)
+SELECT (SELECT count(*) FROM b) AS rows, (SELECT arg_min(ts, bar_id) FROM b) AS first_timestamp, (SELECT arg_max(ts, bar_id) FROM b) AS final_timestamp,
+  (SELECT count(*) FROM b WHERE ts IS NULL OR open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL OR volume < 0 OR {_BROKEN}) AS malformed_rows,
+  (SELECT 5 * count(*) - count(open) - count(high) - count(low) - count(close) - count(volume) FROM b) AS nonfinite_cells,
+  (SELECT count(*) FROM b WHERE least(open, high, low, close) <= 0) AS nonpositive_rows, (SELECT count(*) FROM b WHERE volume = 0) AS zero_volume_rows,
+  (SELECT count(*) - (SELECT count(*) FROM t) FROM b)::BIGINT AS duplicate_rows,
   (SELECT coalesce(sum(greatest(step // 60000000 - 1, 0)) FILTER (step > 60000000), 0)::BIGINT FROM g) AS missing_intervals,
-  (SELECT sum(n - 1)::BIGINT FROM (SELECT count(DISTINCT user_id) AS n FROM events GROUP BY event_type)) AS symbol_conflicts"""
+  (SELECT sum(n - 1)::BIGINT FROM (SELECT count(DISTINCT symbol) AS n FROM b WHERE symbol IS NOT NULL GROUP BY contract)) AS symbol_conflicts,
+  (SELECT count(*) FILTER (ts < prev) FROM (SELECT ts, lag(ts) OVER (ORDER BY bar_id) AS prev FROM b)) AS out_of_order"""
 
 
 @query(_MANIFEST)
 def data_audit_counters(spark, d):
-    return B.audit_counters(ticks(spark, d), 60_000_000, ts="bar_ts", contract="event_type", symbol="symbol", row="event_id")
+    return B.audit_counters(stored_bars(spark, d), 60_000_000, ts="bar_ts", contract="contract", symbol="symbol", row="bar_id", order=True)
 
 
 @query("SELECT user_id, event_type, count(*) AS members, count(*) - 1 AS beyond_first FROM events GROUP BY ALL HAVING count(*) > 1")
@@ -195,10 +209,17 @@ def duplicate_keys(spark, d):
     return B.duplicate_keys(table(spark, d, "events"), ["user_id", "event_type"])
 
 
-@query("""WITH g AS (SELECT event_type, date_diff('microsecond', lag(ts) OVER (PARTITION BY event_type ORDER BY ts), ts) AS step FROM events)
-SELECT event_type, count(*) FILTER (step > 60000000) AS gaps, coalesce(sum(greatest(step // 60000000 - 1, 0)) FILTER (step > 60000000), 0)::BIGINT AS missing_intervals FROM g GROUP BY 1""")
+_GAPS = f"WITH {_STORED}, t AS (SELECT DISTINCT contract, ts FROM b), g AS (SELECT contract, ts, lag(ts) OVER (PARTITION BY contract ORDER BY ts) AS prev FROM t), s AS (SELECT *, date_diff('microsecond', prev, ts) AS step FROM g)"
+
+
+@query(f"{_GAPS} SELECT contract, count(*) FILTER (step > 60000000) AS gaps, coalesce(sum(greatest(step // 60000000 - 1, 0)) FILTER (step > 60000000), 0)::BIGINT AS missing_intervals FROM s GROUP BY 1")
 def missing_intervals(spark, d):
-    return B.gaps(ticks(spark, d), 60_000_000, ts="bar_ts", keys=["event_type"])
+    return B.gaps(stored_bars(spark, d), 60_000_000, ts="bar_ts", keys=["contract"])
+
+
+@query(f"{_GAPS} SELECT contract, prev AS after, ts AS before, (step // 60000000 - 1)::BIGINT AS missing_intervals FROM s WHERE step > 60000000 ORDER BY contract, prev LIMIT 20")
+def gap_samples(spark, d):
+    return B.gap_samples(stored_bars(spark, d), 60_000_000, ts="bar_ts", keys=["contract"])
 
 
 @query(f"SELECT bar_ts, count(DISTINCT event_type) AS contracts FROM ({bars_sql('1 minute', 'event_type')}) GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
@@ -206,9 +227,25 @@ def contract_multiplicity(spark, d):
     return B.contract_multiplicity(contract_bars(spark, d), "bar_ts", "event_type")
 
 
-@query("SELECT event_type, count(DISTINCT user_id) - 1 AS conflicts FROM events GROUP BY 1")
+@query("SELECT instrument_id, count(DISTINCT symbol) - 1 AS conflicts FROM second_bars WHERE symbol IS NOT NULL GROUP BY 1")
 def symbol_conflicts(spark, d):
-    return B.symbol_conflicts(ticks(spark, d), "event_type", "symbol")
+    return B.symbol_conflicts(table(spark, d, "second_bars"), "instrument_id", "symbol")
+
+
+_AUDITED = {
+    "timestamps_parse": ("FAIL", "ts IS NULL"), "timestamps_monotonic": ("FAIL", "ts < prev"), "ohlc_finite": ("FAIL", "open IS NULL OR high IS NULL OR low IS NULL OR close IS NULL OR volume IS NULL"),
+    "volume": ("FAIL", "volume < 0"), "contract_id_missing": ("FAIL", "contract IS NULL"), "contract_switches": ("INFO", "contract <> held"),
+}
+
+
+@query(f"WITH {_STORED}, e AS (SELECT *, lag(ts) OVER w AS prev, lag(contract) OVER w AS held FROM b WINDOW w AS (ORDER BY bar_id)) " + " UNION ALL ".join(
+    [f"SELECT '{k}' AS \"check\", CASE WHEN count(*) FILTER ({x}) > 0 THEN '{bad}' ELSE 'PASS' END AS status, count(*) FILTER ({x}) AS n, coalesce(min(bar_id) FILTER ({x if bad == 'FAIL' and k != 'contract_id_missing' else 'false'}), -1) AS first_row FROM e" for k, (bad, x) in _AUDITED.items()]
+    + ["SELECT 'timestamps_unique', CASE WHEN count(ts) > count(DISTINCT ts) THEN 'FAIL' ELSE 'PASS' END, count(ts) - count(DISTINCT ts), -1 FROM b",
+       "SELECT 'contract_multiple_per_timestamp', CASE WHEN count(*) FILTER (k > 1) > 0 THEN 'FAIL' ELSE 'PASS' END, count(*) FILTER (k > 1), -1 FROM (SELECT count(DISTINCT contract) AS k FROM b GROUP BY ts)"]))
+def bars_audit(spark, d):
+    """Findings on the delivered bars as one table; geometry and price checks need cells that are all finite, so they are left to ``bar_validation_counts``."""
+    found = A.audit_bars(stored_bars(spark, d), row="bar_id", contract="contract").where(F.col("evidence").isNotNull() & ~F.col("check").isin("ohlc_geometry", "ohlc_positive"))
+    return found.select("check", "status", F.get_json_object("evidence", "$.count").cast("bigint").alias("n"), F.coalesce(F.get("rows", F.lit(0)), F.lit(-1)).alias("first_row"))
 
 
 # --- indicators ------------------------------------------------------------------------------------
@@ -342,8 +379,8 @@ _DAMAGED = """dam AS (SELECT * REPLACE (CASE WHEN minute(entry_time) % 7 = 0 THE
     CASE WHEN minute(entry_time) % 11 = 0 THEN 0.0 ELSE initial_risk END AS initial_risk, CASE WHEN minute(entry_time) % 5 = 0 THEN net_R + 0.01 ELSE net_R END AS net_R),
     CASE WHEN minute(entry_time) % 13 = 0 THEN 'short' ELSE 'LONG' END AS direction FROM led)"""
 _CHECKS = {
-    "ledger_timestamps": "entry_time IS NULL OR exit_time IS NULL", "exit_after_entry": "exit_time < entry_time", "one_global_position": "entry_time <= prev", "trade_prices": "entry_price IS NULL OR exit_price IS NULL",
-    "entry_after_signal": "entry_time <= signal_time", "deadline": "exit_time > deadline", "atr_causality": "atr_source_end IS NULL OR atr_source_end > entry_time", "initial_risk": "initial_risk <= 0",
+    "ledger_timestamps": "entry_time IS NULL OR exit_time IS NULL", "exit_after_entry": "exit_time < entry_time", "one_global_position": "entry_time <= prev", "trade_prices": "entry_price IS NULL OR exit_price IS NULL OR entry_price <= 0 OR exit_price <= 0",
+    "entry_after_signal": "entry_time <= signal_time", "deadline": "exit_time > deadline", "atr_causality": "atr_source_end > entry_time", "initial_risk": "initial_risk <= 0",
     "r_accounting": "NOT coalesce(abs(gross_R - cost_R - net_R) <= 1e-9, false)", "stop_price_tick_alignment": "abs(round(stop_price / 0.25) * 0.25 - stop_price) > 1e-9",
     "target_price_tick_alignment": "abs(round(target_price / 0.25) * 0.25 - target_price) > 1e-9", "long_only": "lower(direction) NOT IN ('long', '1', 'buy')",
 }
@@ -351,11 +388,11 @@ _CHECKS = {
 
 def _audit_sql(rows: str) -> str:
     parts = [f"SELECT '{k}' AS \"check\", CASE WHEN count(*) FILTER ({v}) > 0 THEN 'FAIL' ELSE 'PASS' END AS status, count(*) FILTER ({v}) AS n FROM {rows}" for k, v in _CHECKS.items()]
-    return " UNION ALL ".join([*parts, f"SELECT 'trade_count', 'INFO', count(*) FROM {rows}"])
+    return " UNION ALL ".join([*parts, f"SELECT 'trade_count', 'INFO', count(*) FROM {rows}", "SELECT 'ledger_schema', 'PASS', 0"])
 
 
 def _found(findings: DataFrame) -> DataFrame:
-    return findings.select("check", "status", F.get_json_object("evidence", "$.count").cast("bigint").alias("n"))
+    return findings.select("check", "status", F.coalesce(F.get_json_object("evidence", "$.count").cast("bigint"), F.lit(0)).alias("n"))
 
 
 _WITH_DAMAGE = f"{candidates_sql(True)}, {ACCEPTED_SQL}, {_DAMAGED}, rows AS (SELECT *, lag(exit_time) OVER (ORDER BY entry_time, exit_time) AS prev FROM dam)"
@@ -379,20 +416,35 @@ def findings_status_counts(spark, d):
 _MANDATORY = ["exit_after_entry", "trade_prices", "deadline", "long_only"]
 
 
-@query(f"""{_WITH_DAMAGE}, f AS ({_audit_sql('rows')}) SELECT CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAILED' WHEN count(*) < {len(_MANDATORY)} THEN 'INCOMPLETE' ELSE 'VERIFIED' END AS verdict
+@query(f"""{_WITH_DAMAGE}, f AS ({_audit_sql('rows')}) SELECT CASE WHEN count(*) FILTER (status = 'FAIL') > 0 THEN 'FAILED' WHEN count(*) < {len(_MANDATORY)} THEN 'INCOMPLETE / UNVERIFIED' ELSE 'VERIFIED' END AS verdict
   FROM f WHERE "check" IN {tuple(_MANDATORY)}""")
 def verdict(spark, d):
     return A.verdict(_audited(spark, d), _MANDATORY)
 
 
-@query(f"""{_WITH_DAMAGE}, a AS (SELECT *, row_number() OVER (ORDER BY entry_time) AS n FROM led), b AS (SELECT *, row_number() OVER (ORDER BY entry_time) AS n FROM dam),
-  j AS (SELECT a.exit_time AS x1, b.exit_time AS y1, a.initial_risk AS x2, b.initial_risk AS y2, a.net_R AS x3, b.net_R AS y3, a.exit_price AS x4, b.exit_price AS y4 FROM a FULL JOIN b USING (n))
-  SELECT 'reference_exit_time' AS "check", count(*) FILTER (x1 IS DISTINCT FROM y1) AS mismatches FROM j UNION ALL SELECT 'reference_initial_risk', count(*) FILTER (abs(x2 - y2) > 1e-9) FROM j
-  UNION ALL SELECT 'reference_net_R', count(*) FILTER (abs(x3 - y3) > 1e-9) FROM j UNION ALL SELECT 'reference_exit_price', count(*) FILTER (abs(x4 - y4) > 1e-9) FROM j""")
+_NUMBERS = ("entry_price", "atr_value", "stop_price", "target_price", "initial_risk", "exit_price", "gross_R", "cost_R", "net_R")
+
+
+def _reconcile_sql() -> str:
+    differs = {c: f"a.{c} IS DISTINCT FROM b.{c}" if c not in _NUMBERS else f"(a.{c} IS NULL) <> (b.{c} IS NULL) OR abs(a.{c} - b.{c}) > 1e-9" for c in A.RECONCILED}
+    parts = [f"SELECT 'reference_{c}' AS \"check\", count(*) FILTER ({x}) AS mismatches, coalesce(min(n) FILTER ({x}), -1) AS first_row FROM j" for c, x in differs.items()]
+    sides = ", ".join(f"{k} AS (SELECT *, row_number() OVER (ORDER BY entry_time) AS n FROM {t})" for k, t in (("a", "dam"), ("b", "led")))
+    return f"{_WITH_DAMAGE}, {sides}, j AS (SELECT a, b, n FROM a FULL JOIN b USING (n)) " + " UNION ALL ".join(parts)
+
+
+@query(_reconcile_sql())
 def ledger_reconcile(spark, d):
     ledger = _ledger(spark, d)
-    found = A.reconcile_ledgers(_damaged(ledger), ledger, columns=["exit_time", "initial_risk", "net_R", "exit_price"])
-    return found.where(F.col("check") != "reference_count").select("check", F.get_json_object("evidence", "$.mismatches").cast("bigint").alias("mismatches"))
+    found = A.reconcile_ledgers(_damaged(ledger), ledger).where(F.col("check") != "reference_reconciliation")
+    return found.select("check", F.get_json_object("evidence", "$.mismatches").cast("bigint").alias("mismatches"), F.coalesce(F.get("rows", F.lit(0)), F.lit(-1)).alias("first_row"))
+
+
+@query(f"{candidates_sql(True)}, {ACCEPTED_SQL} SELECT count(*) AS production_trades, count(*) AS reference_trades, 0::BIGINT AS columns_differing, true AS matched FROM led")
+def engines_agree(spark, d):
+    """The ledgers of both engines over the same bars."""
+    from barloom.operators.second_engine import reconcile_engines
+
+    return reconcile_engines(bars(spark, d), P).drop("production_hash", "reference_hash")
 
 
 def _selected(spark, d) -> DataFrame:
@@ -486,11 +538,11 @@ def mutation_compare(spark, d):
     return _scenario(spark, d, "mutation")
 
 
-_HASHED = ["entry_time", "exit_time", "exit_reason", "stop_price", "target_price"]
+_HASHED = list(A.RECONCILED)
+_LINE = " || ',' || ".join(f"format('{{:.9f}}', round({c}, 9))" if c in _NUMBERS else c if c == "exit_reason" else f"strftime({c}, '%Y-%m-%d %H:%M:%S+00:00')" for c in _HASHED)
 
 
-@query(f"""{candidates_sql(True)}, {ACCEPTED_SQL}, l AS (SELECT entry_time, strftime(entry_time, '%Y-%m-%d %H:%M:%S+00:00') || ',' || strftime(exit_time, '%Y-%m-%d %H:%M:%S+00:00') || ',' || exit_reason || ','
-  || format('{{:.9f}}', stop_price) || ',' || format('{{:.9f}}', target_price) AS line FROM led)
+@query(f"""{candidates_sql(True)}, {ACCEPTED_SQL}, l AS (SELECT entry_time, {_LINE} AS line FROM led)
 SELECT sha256('{",".join(_HASHED)}' || chr(10) || string_agg(line, chr(10) ORDER BY entry_time) || chr(10)) AS ledger_hash FROM l""")
 def ledger_hash(spark, d):
     return A.ledger_hash(_ledger(spark, d), _HASHED)
@@ -514,7 +566,7 @@ def static_scan(spark, d):
     from barloom.operators.static_scan import scan_table
 
     root = Path(__file__).resolve().parents[1]
-    rows = [(p.relative_to(root).as_posix(), p.read_text()) for p in sorted(root.rglob("*.py")) if "llm" not in p.parts]
+    rows = [(p.relative_to(root).as_posix(), p.read_text()) for p in sorted(root.rglob("*.py"))]
     return scan_table(spark.createDataFrame(rows, "path string, source string"))
 
 

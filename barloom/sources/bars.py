@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,21 +48,44 @@ def to_utc(df: DataFrame, column: str, out: str = "bar_ts") -> DataFrame:
         stamp = F.try_to_timestamp(F.col(column))
     else:
         stamp = F.col(column)
-    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), stamp.cast("timestamp_ntz"))
+    utc = _instant(stamp)
     return df.withColumn(out, utc) if out != column else df.withColumn(column, utc)
 
 
+def _instant(stamp: Column) -> Column:
+    """TIMESTAMP_NTZ in UTC by counting from 1970, so neither the session's zone nor a repeated hour in it matters."""
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.unix_micros(stamp) / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(18,6)"))
+
+
+ROW = "_row"
+
+
+def with_rows(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``path`` with ``_row``, their number in stored order (with gaps): files by name, rows by their place in the file, however Spark packs the files."""
+    df = read_any(spark, path)
+    bare = r"^[a-z0-9]+:/+|^/+"
+    names = sorted(re.sub(bare, "", f) for f in df.inputFiles())
+    files = F.array_position(F.array(*[F.lit(f) for f in names]), F.regexp_replace("_metadata.file_path", bare, ""))
+    if data_format(path) == "parquet":
+        return df.withColumn(ROW, F.shiftleft(files, 44) + F.col("_metadata.row_index"))
+    # Splits of text files are numbered by file and place; rows within a split keep the reader's order.
+    held = df.select("*", files.alias("_file"), F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_id"))
+    splits = held.groupBy("_file", "_start").agg(F.min("_id").alias("_least"))
+    splits = splits.withColumn("_split", F.row_number().over(Window.orderBy("_file", "_start")))  # one row a split
+    return held.join(splits, ["_file", "_start"]).withColumn(ROW, F.shiftleft(F.col("_split").cast("bigint"), 34) + F.col("_id") - F.col("_least")).drop("_file", "_start", "_id", "_split", "_least")
+
+
 def load_bars(spark: SparkSession, path: str, timestamp_col: str = "timestamp", *, max_rows: int | None = None, validate: bool = True) -> DataFrame:
     """Bars of a file in UTC, extra columns kept; optionally validated, optionally refused beyond ``max_rows``."""
-    df = read_any(spark, path)
+    df = with_rows(spark, path) if validate else read_any(spark, path)
     if timestamp_col not in df.columns:
         raise ValueError(f"no column {timestamp_col}")
     if max_rows is not None and df.count() > max_rows:
         raise ValueError(f"more than {max_rows} rows")
     df = to_utc(df, timestamp_col)
     if validate:
-        validate_bars(df)
-    return df
+        validate_bars(df, row=ROW)
+    return df.drop(ROW)
 
 
 def timestamp_kind(df: DataFrame, column: str) -> str:
@@ -126,7 +150,7 @@ def load_trade_windows(spark: SparkSession, path: str, trades: DataFrame, *, tim
     lo, hi = f"{bounds[0]:%Y-%m-%d %H:%M:%S}", f"{bounds[1]:%Y-%m-%d %H:%M:%S}"
     literal = (lambda t: f"TIMESTAMP_NTZ'{t}'") if isinstance(raw, T.TimestampNTZType) else (lambda t: f"TIMESTAMP'{t}+00:00'")
     fine = fine.where(F.expr(f"{timestamp_col} >= {literal(lo)} AND {timestamp_col} < {literal(hi)} + INTERVAL {interval}"))
-    stamp = F.col(timestamp_col) if isinstance(raw, T.TimestampNTZType) else F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col(timestamp_col).cast("timestamp_ntz"))
+    stamp = F.col(timestamp_col) if isinstance(raw, T.TimestampNTZType) else _instant(F.col(timestamp_col))
     keyed = fine.withColumn("_w", bucket(stamp, interval)).withColumn("_c", F.col(fine_contract))
     return keyed.join(windows, ["_w", "_c"], "left_semi").drop("_w", "_c").orderBy(timestamp_col)
 

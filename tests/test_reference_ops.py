@@ -12,6 +12,7 @@ from barloom.operators import bars as B
 from barloom.operators import causality as C
 from barloom.operators import indicators as I
 from barloom.operators import trading as T
+from barloom.operators.second_engine import reconcile_engines, run_reference, walk
 from barloom.params import StrategyParams
 
 BARS = "series_id string, bar_ts timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -111,73 +112,6 @@ def test_cost_year_and_summary(spark):
     assert T.summarize(spark.createDataFrame([(1.0,)], "net_R double")).first()["profit_factor"] == math.inf
 
 
-def loop_engine(rows, p):
-    """The strategy bar by bar, in plain Python and independent of the engine."""
-    from zoneinfo import ZoneInfo
-
-    ny, ct, utc = ZoneInfo("America/New_York"), ZoneInfo("America/Chicago"), ZoneInfo("UTC")
-    wall = lambda t, z: t.replace(tzinfo=utc).astimezone(z)
-
-    def deadline(t):
-        w = wall(t, ny)
-        if not (w.hour >= 18 or w.hour < 15):
-            return None
-        day = w.date() + dt.timedelta(days=w.hour >= 18)
-        return dt.datetime(day.year, day.month, day.day, 15, tzinfo=ny).astimezone(utc).replace(tzinfo=None)
-
-    def london(t):
-        m = wall(t, ct).hour * 60 + wall(t, ct).minute
-        return 120 <= m < 510
-
-    w = p.weights
-    fd, z, ema, out, until = [], [], None, [], None
-    four = {}
-    for t, o, h, lo, c in rows:
-        k = t.replace(hour=t.hour // 4 * 4, minute=0)
-        b = four.setdefault(k, [h, lo, c])
-        four[k] = [max(b[0], h), min(b[1], lo), c]
-    ranges, prev = [], None
-    for k in sorted(four):
-        h, lo, c = four[k]
-        ranges.append((k + dt.timedelta(hours=4), max(h - lo, *( [abs(h - prev), abs(lo - prev)] if prev is not None else []), 0)))
-        prev = c
-    for i, (t, o, h, lo, c) in enumerate(rows):
-        fd.append(sum(w[k] * math.log(rows[i - k][4]) for k in range(len(w))) if i >= len(w) - 1 else None)
-        win = fd[-p.z_window :]
-        if len(win) == p.z_window and None not in win:
-            mean = sum(win) / len(win)
-            sd = math.sqrt(sum((x - mean) ** 2 for x in win) / len(win))
-            z.append((fd[-1] - mean) / sd if sd else None)
-        else:
-            z.append(None)
-        a = 2 / (p.ema_span + 1)
-        ema = c if ema is None else a * c + (1 - a) * ema
-        if i < p.range_window - 1 or i == 0 or z[i] is None or z[i - 1] is None or not (z[i] >= p.z_threshold > z[i - 1]):
-            continue
-        mr = sum(x[2] - x[3] for x in rows[i - p.range_window + 1 : i + 1]) / p.range_window
-        if not mr or (c - ema) / mr > p.keltner_max or i + 1 >= len(rows):
-            continue
-        e = rows[i + 1]
-        d = deadline(e[0])
-        if london(t) or london(e[0]) or d is None or deadline(t) != d or (until and e[0] <= until):
-            continue
-        tr = [r for r in ranges if r[0] <= e[0]]
-        if not tr or not tr[-1][1] > 0:
-            continue
-        stop, target = math.ceil((e[1] - tr[-1][1]) * 4) / 4, math.ceil((e[1] + 0.5 * tr[-1][1]) * 4) / 4
-        if e[1] - stop <= 0:
-            continue
-        span = [r for r in rows[i + 1 :] if r[0] <= d]
-        exact = span[-1][0] == d
-        for r in span:
-            hit = (r[1], "FLAT_1500") if r[0] == d else (r[1], "SL") if r[1] <= stop else (target, "TP") if r[1] >= target else (stop, "SL") if r[3] <= stop else (target, "TP") if r[2] >= target else (r[4], "FLAT_1500") if not exact and r is span[-1] else None
-            if hit:
-                out.append((e[0], r[0], hit[1], hit[0]))
-                until = r[0]
-                break
-    return out
-
-
 def test_engine_against_loop(spark):
     rows, last, start = [], 15000.0, dt.datetime(2024, 1, 2)
     for k in range(1800):
@@ -185,10 +119,10 @@ def test_engine_against_loop(spark):
         rows.append((at(k, start), last, max(last, c) + 5, min(last, c) - 5, c))
         last = c
     p = StrategyParams(z_threshold=2.5, keltner_max=50.0)
-    want = loop_engine(rows, p)
-    got = T.run_backtest(make(spark, rows), p).orderBy("entry_time").collect()
-    assert len(want) >= 1
-    assert [(r["entry_time"], r["exit_time"], r["exit_reason"], r["exit_price"]) for r in got] == want
+    both = reconcile_engines(make(spark, rows), p).first()
+    assert both["production_trades"] >= 1 and both["matched"] and both["production_hash"] == both["reference_hash"]
+    assert [r[1] for r in walk(rows, p)] == [r["entry_time"] for r in run_reference(make(spark, rows), p).orderBy("entry_time").collect()]
+    assert not reconcile_engines(make(spark, rows), p).drop("matched").limit(0).collect() and run_reference(make(spark, []), p).count() == 0
 
 
 def test_validation_order_and_messages(spark):
@@ -221,13 +155,18 @@ def test_broken_ledgers_are_caught(spark):
     assert failing({}, later) == {"one_global_position", "entry_after_signal"}
     assert failing({"exit_time": at(0), "net_R": 2.0, "initial_risk": 0.0, "direction": "short", "stop_price": 99.1, "atr_source_end": at(2)}) == {"exit_after_entry", "r_accounting", "initial_risk", "long_only", "stop_price_tick_alignment", "atr_causality"}
     assert failing({"exit_time": at(301), "entry_price": float("nan")}) == {"deadline", "trade_prices"}
+    bare = spark.createDataFrame([(at(1), at(5), 1.0, 1.0, 0)], "entry_time timestamp_ntz, exit_time timestamp_ntz, entry_price double, exit_price double, row bigint")
+    for wanted in ({"required_deadline": True}, {"long_only": True}):
+        for df in (bare, bare.limit(0)):
+            assert [(r["check"], r["status"]) for r in A.audit_ledger(df, **wanted).collect()] == [("ledger_schema", "FAIL")]
+    assert ("ledger_schema", "PASS") in {(r["check"], r["status"]) for r in A.audit_ledger(bare).collect()}
 
 
 def test_verdicts(spark):
     f = lambda *rows: A.findings(spark, [(c, s, "", None, fam) for c, s, fam in rows])
     v = lambda found, m=None: A.verdict(found, m).first()[0]
-    assert v(f(("a", "PASS", None))) == "VERIFIED" and v(f(("a", "WARN", None))) == "INCOMPLETE" and v(f(("a", "FAIL", None), ("b", "WARN", None))) == "FAILED"
-    assert v(f(("a", "PASS", None), ("b", "FAIL", None)), ["a"]) == "VERIFIED" and v(f(("a", "PASS", "x")), ["x", "y"]) == "INCOMPLETE" and v(f(("a", "FAIL", "x")), ["x", "y"]) == "FAILED"
+    assert v(f(("a", "PASS", None))) == "VERIFIED" and v(f(("a", "WARN", None))) == A.INCOMPLETE and v(f(("a", "FAIL", None), ("b", "WARN", None))) == "FAILED"
+    assert v(f(("a", "PASS", None), ("b", "FAIL", None)), ["a"]) == "VERIFIED" and v(f(("a", "PASS", "x")), ["x", "y"]) == A.INCOMPLETE and v(f(("a", "FAIL", "x")), ["x", "y"]) == "FAILED"
 
 
 def test_causality_catches_a_peek(spark):
@@ -239,7 +178,14 @@ def test_causality_catches_a_peek(spark):
     honest = lambda b: {"features": b.withColumn("f", F.avg("close").over(w.rowsBetween(-5, 0))).select("series_id", "bar_ts", "f")}
     peek = lambda b: {"features": b.withColumn("f", F.lead("close").over(w)).select("series_id", "bar_ts", "f")}
     cut = [at(100), at(150)]
-    assert {r["status"] for r in C.audit_causality(honest, bars, cutoffs=cut).collect()} == {"PASS"}
+    found, coverage = C.audit_with_coverage(honest, bars, cutoffs=cut)
+    assert {r["status"] for r in found.collect()} == {"PASS"} and coverage["truncation_comparisons"] == 2 and coverage["stages"] == ["features"]
+    ledger = lambda b: honest(b)["features"].select("series_id", F.col("bar_ts").alias("entry_time"), F.col("bar_ts").alias("exit_time"), "f")
+    old = {(r["check"], r["status"]) for r in C.audit_ledger_causality(ledger, bars, cut).collect()}
+    assert old == {("truncation_invariance", "PASS"), ("future_mutation", "PASS"), ("feature_causality", "UNVERIFIED")}
+    assert [r["status"] for r in C.audit_ledger_causality(ledger, bars).collect()] == ["WARN"]
+    with pytest.raises(TypeError):
+        C.audit_causality(lambda b: {"features": 1}, bars, cutoffs=cut)
     assert {r["status"] for r in C.audit_causality(peek, bars, cutoffs=cut).collect()} == {"FAIL"}
 
 
@@ -254,8 +200,16 @@ def test_cutoffs(spark):
 def test_static_scan(spark):
     from barloom.operators.static_scan import scan_table, scan_text
 
-    names = lambda s: {r[0] for r in scan_text(s)}
-    assert "negative_shift" in names("x.shift(-1)") and "centered_rolling" in names("x.rolling(5, center=True)") and "future_iloc" in names("x.iloc[i + 1]") and "spark_lead" in names("F.lead('x')")
-    assert names("x[:i+1]") == set() and "future_slice" in names("x[i+1:]") and "spark_future_frame" in names("w.rowsBetween(-1, 5)") and scan_text("def f(:")[0][1] == "FAIL"
+    found = lambda s: {(r[0].removeprefix("static_"), r[1]) for r in scan_text(s)}
+    names = lambda s: {r[0] for r in found(s)}
+    for text, rule in (
+        ("x.shift(-1)", "negative_shift"), ("np.roll(x, -2)", "negative_roll"), ("x.rolling(5, center=True)", "centered_rolling"), ("x.fillna(method='bfill')", "fillna_bfill"), ("pd.merge_asof(a, b, direction='forward')", "forward_asof"),
+        ("x.iloc[i + 1]", "future_iloc"), ("x.iloc[1 + i]", "future_iloc"), ("x[i+1:]", "future_slice"), ("x[:i+2]", "future_slice"), ("x[::-1]", "reverse_slice"), ("x.reverse()", "reverse_iteration"), ("x.mean()", "full_sample_statistic"),
+        ("F.lead('x')", "spark_lead"), ("w.rowsBetween(-1, 5)", "spark_future_frame"), ("df['target_return'] = 1", "future_label"), ("a.timestamp > b", "future_timestamp_join"), ("m.fit(x)", "full_sample_fit"),
+    ):
+        assert rule in names(text), text
+    for text in ("x[:i+1]", "x[i - m + 1 : i + 1]", "x.rolling(5).mean()", "max(x)", "x.shift(1)", "x.iloc[i]", "x.sort()"):
+        assert not found(text), text
+    assert found("future_return = 1") == {("future_label", "INFO")} and scan_text("def f(:")[0][:2] == ("static_syntax", "PROVEN FAILURE") and names("s = 'x.shift( -1)'") == {"negative_shift"}
     df = spark.createDataFrame([("a.py", "y = x.bfill()"), ("b.py", None)], "path string, source string")
-    assert [tuple(r) for r in scan_table(df).collect()] == [("a.py", "backfill", "WARN", 1)]
+    assert [tuple(r) for r in scan_table(df).collect()] == [("a.py", "static_backfill", "WARN", 1)]

@@ -21,12 +21,35 @@ def test_csv_zones(spark, tmp_path):
     assert load(["2024-01-02T14:00:00+01:00,1,2,1,2,5,x"]).first()["bar_ts"] == dt.datetime(2024, 1, 2, 13)
     with pytest.raises(ValueError, match="no time zone"):
         load(["2024-01-02T14:00:00,1,2,1,2,5,x"])
+    with pytest.raises(ValueError, match="not_chronological"):
+        load(["2024-01-02T14:01:00Z,1,2,1,2,5,x", "2024-01-02T14:00:00Z,1,2,1,2,5,x"])
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:  # both hours of the night on which the session's clock goes back
+        got = [r["bar_ts"] for r in load(["2024-11-03T05:30:00Z,1,2,1,2,5,x", "2024-11-03T06:30:00Z,1,2,1,2,5,x"]).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert got == [dt.datetime(2024, 11, 3, 5, 30), dt.datetime(2024, 11, 3, 6, 30)]
     with pytest.raises(ValueError, match="no column"):
         load(["2024-01-02T14:00:00Z,1,2,1,2,5,x"], timestamp_col="ts")
     with pytest.raises(ValueError, match="unsupported data format"):
         S.data_format("x.json")
 
 
+@pytest.mark.parametrize("kind", ["csv", "parquet"])
+def test_stored_order_of_folders(spark, tmp_path, kind):
+    """Files by name and rows by place, however large the files are."""
+    folder = tmp_path / f"two parts.{kind}"
+    folder.mkdir()
+    for name, rows in (("a", [5, 4]), ("b", range(100, 400))):
+        df = spark.createDataFrame([(int(x), "pad" * 20) for x in rows], "x bigint, pad string").coalesce(1)
+        part = tmp_path / f"{name}-{kind}"
+        (df.write.option("header", True).csv if kind == "csv" else df.write.parquet)(str(part))
+        next(part.glob(f"part-*.{kind}")).rename(folder / f"{name}.{kind}")
+    got = [int(r["x"]) for r in S.with_rows(spark, str(folder)).orderBy(S.ROW).collect()]
+    assert got == [5, 4, *range(100, 400)]
+
+
 def test_hashes(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1\n")
     got = S.file_hashes(spark, str(tmp_path / "a.py")).first()
@@ -77,20 +100,40 @@ def test_verify_end_to_end(spark, tmp_path):
         last = c
     data = tmp_path / "bars.csv"
     data.write_text("\n".join(lines))
-    from barloom.operators.causality import audit_causality
-    from barloom.orchestrator import Options, audit_dataset, load_adapter, load_profile, verify
+    from barloom.orchestrator import Options, audit_dataset, interval_of, load_profile, verify
 
     manifest, found = audit_dataset(spark, str(data))
-    assert manifest["rows"] == 1200 and manifest["timezone_interpretation"] == "UTC explicit" and found.where("status = 'FAIL'").count() == 0
-    assert load_profile(folder / "profile.toml").semantics == {"long_only": True} and callable(load_adapter(folder / "adapter.py").run)
-    assert audit_causality and verify(spark, Options(str(folder / "adapter.py"))).verdict == "INCOMPLETE"
+    assert manifest["row_count"] == 1200 and manifest["timezone_interpretation"] == "texts with a zone" and manifest["chronological"] and found.where("status = 'FAIL'").count() == 0
+    with pytest.raises(ValueError, match="missing columns"):
+        audit_dataset(spark, str(data), timestamp_col="ts")
+    profile = folder / "profile.toml"
+    assert load_profile(profile).mandatory == ["causality", "data_audit", "ledger", "static_scan"] and load_profile(profile).semantics["long_only"] is True
+    assert [interval_of(x) for x in ("1min", "15 minutes", "1s", "h")] == ["1 minute", "15 minute", "1 second", "1 hour"]
+    adapter = str(folder / "adapter.py")
+    empty = verify(spark, Options(adapter, str(profile)))
+    assert empty.verdict == "INCOMPLETE / UNVERIFIED" and empty.exit_code == 2 and {"canonical_data", "repository_health", "deterministic_tests"} <= {r["check"] for r in empty.rows}
+    profile.write_text(profile.read_text().replace("static_scan = true", "high_resolution = true"))
+    full = verify(spark, Options(adapter, str(profile), data=str(data), mode="fast", report_prefix=str(tmp_path / "r")))
+    status = {r["check"]: r["status"] for r in full.rows}
+    assert status["truncation_trades"] == status["future_mutation_features"] == status["ledger_schema"] == "PASS" and status["reference_reconciliation"] == status["high_resolution_execution"] == "UNVERIFIED"
+    assert full.verdict == "INCOMPLETE / UNVERIFIED" and full.coverage["causality"]["cutoff_count"] == 6
+    body = json.loads((tmp_path / "r.json").read_text())
+    assert body["schema_version"] == 1 and body["mandatory_checks"] == ["causality", "data_audit", "high_resolution", "ledger"] and body["candidate"] == str((folder / "adapter.py").resolve())
+    text = (tmp_path / "r.md").read_text()
+    assert "- Verdict: **INCOMPLETE / UNVERIFIED**" in text and "## Coverage" in text and "## Artifacts" in text and "| PASS | ledger | ledger_schema |" in text
     bad = tmp_path / "bad.csv"
     bad.write_text("\n".join([*lines[:3], lines[2]]))
-    report = verify(spark, Options(str(folder / "adapter.py"), str(folder / "profile.toml"), str(bad)))
-    assert report.verdict == "FAILED" and report.exit_code == 1
-    report.write_json(tmp_path / "r.json")
-    report.write_markdown(tmp_path / "r.md")
-    assert json.loads((tmp_path / "r.json").read_text())["schema_version"] == 1 and "| data_duplicates | FAIL" in (tmp_path / "r.md").read_text()
+    report = verify(spark, Options(adapter, str(profile), data=str(bad)))
+    assert report.verdict == "FAILED" and report.exit_code == 1 and "candidate_execution" not in {r["check"] for r in report.rows}
+    (folder / "adapter.py").write_text("from pyspark.sql import functions as F\n\n\ndef run(bars):\n    return bars.select(F.raise_error(F.lit('late')).alias('entry_time'))\n")
+    late = {r["check"]: r for r in verify(spark, Options(adapter, str(profile), data=str(data))).rows}
+    assert late["candidate_execution"]["status"] == "FAIL" and "late" in late["candidate_execution"]["message"]
+    # Spreads fail the audit unless the command is told that they may be negative.
+    low = tmp_path / "low.csv"
+    low.write_text("timestamp,open,high,low,close,volume\n2024-01-02T14:00:00Z,-1,-1,-2,-1,1")
+    assert main(["audit-data", str(low)]) == 1 and main(["audit-data", str(low), "--allow-nonpositive-prices", "--out", str(tmp_path / "m.json")]) == 2
+    assert json.loads((tmp_path / "m.json").read_text())["negative_price_rows"] == 1
+    assert main(["verify", "--strategy", str(folder), "--dry-run"]) == 0
 
 
 def test_cli_without_spark(tmp_path, capsys):
