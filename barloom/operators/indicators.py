@@ -20,6 +20,7 @@ from barloom.params import StrategyParams
 from barloom.session import cut_lineage
 
 SERIES = "series_id"
+FOLD = 256
 
 
 def fracdiff(x: Column, weights: list[float], w) -> Column:
@@ -45,7 +46,7 @@ def ema(df: DataFrame, column: str, span: int, out: str, *, series: list[str], b
     """First-order recurrence seeded by the first stored value. Needs ``_pos``.
 
     A block's own part is a prefix sum of scaled values; what comes from before
-    is one carry a block, folded over block summaries in order.
+    is one carry a block, folded over block summaries in order, ``FOLD`` at a time.
     """
     alpha = 2.0 / (span + 1)
     keep = 1.0 - alpha
@@ -59,13 +60,21 @@ def ema(df: DataFrame, column: str, span: int, out: str, *, series: list[str], b
     scaled = F.sum(alpha * x * F.pow(F.lit(keep), -F.col("_ej"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
     blocked = blocked.withColumn("_part", F.pow(F.lit(keep), F.col("_ej")) * scaled)
     summary = blocked.groupBy(*series, "_eb").agg(F.max_by("_part", "_pos").alias("_p"), F.count("*").alias("_n"), F.min_by(column, "_pos").alias("_x0"))
-    folded = summary.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("_eb", "_p", "_n", "_x0"))).alias("_s"))
-    step = lambda acc, s: F.struct(
-        F.concat(acc["list"], F.array(F.struct(s["_eb"].alias("_eb"), F.coalesce(acc["carry"], s["_x0"]).alias("_carry")))).alias("list"),
-        (s["_p"] + F.coalesce(acc["carry"], s["_x0"]) * F.pow(F.lit(keep), s["_n"].cast("double"))).alias("carry"),
-    )
-    start = F.struct(F.array().cast("array<struct<_eb:bigint,_carry:double>>").alias("list"), F.lit(None).cast("double").alias("carry"))
-    carries = folded.select(*series, F.inline(F.aggregate("_s", start, step, lambda a: a["list"])))
+    # Summaries compose, so they are folded in two levels: groups of blocks, then blocks within a group from the group's carry.
+    grouped = summary.withColumn("_g", F.floor(F.col("_eb") / FOLD)).groupBy(*series, "_g").agg(F.array_sort(F.collect_list(F.struct("_eb", "_p", "_n", "_x0"))).alias("_s"))
+    after = lambda carry, s: s["_p"] + carry * F.pow(F.lit(keep), s["_n"].cast("double"))
+    whole = grouped.select(*series, "_g", F.aggregate("_s", F.lit(0.0), after).alias("_p"), F.aggregate("_s", F.lit(0).cast("bigint"), lambda n, s: n + s["_n"]).alias("_n"), F.col("_s")[0]["_x0"].alias("_x0"))
+
+    def carried(rows: Column, first: Column, at: str) -> Column:
+        """Carry before each of some summaries in order; ``first`` before the first one, null where the series begins."""
+        step = lambda acc, s: F.struct(
+            F.concat(acc["list"], F.array(F.struct(s[at].alias(at), F.coalesce(acc["carry"], s["_x0"]).alias("_carry")))).alias("list"), after(F.coalesce(acc["carry"], s["_x0"]), s).alias("carry")
+        )
+        return F.aggregate(rows, F.struct(F.array().cast(f"array<struct<{at}:bigint,_carry:double>>").alias("list"), first.alias("carry")), step, lambda x: x["list"])
+
+    groups = whole.groupBy(*series).agg(F.array_sort(F.collect_list(F.struct("_g", "_p", "_n", "_x0"))).alias("_s"))
+    groups = groups.select(*series, F.inline(carried(F.col("_s"), F.lit(None).cast("double"), "_g")))
+    carries = grouped.join(groups, [*series, "_g"]).select(*series, F.inline(carried(F.col("_s"), F.col("_carry"), "_eb")))
     joined = blocked.join(carries, [*series, "_eb"])
     return joined.withColumn(out, F.col("_part") + F.col("_carry") * F.pow(F.lit(keep), F.col("_ej") + 1)).drop("_eb", "_ej", "_part", "_carry")
 

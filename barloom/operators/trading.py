@@ -58,7 +58,8 @@ def simulate(candidates: DataFrame, bars: DataFrame) -> DataFrame:
     """
     keyed = bars.select(SERIES, "bar_ts", "open", "high", "low", "close", session_key(F.col("bar_ts")).alias("deadline")).where(F.col("deadline").isNotNull())
     ends = keyed.groupBy(SERIES, "deadline").agg(F.bool_or(F.col("bar_ts") == F.col("deadline")).alias("_has"), F.max(F.when(F.col("bar_ts") < F.col("deadline"), F.col("bar_ts"))).alias("_last"))
-    pairs = candidates.join(ends, [SERIES, "deadline"]).join(keyed, [SERIES, "deadline"]).where(F.col("bar_ts") >= F.col("entry_time"))
+    narrow = candidates.select(SERIES, "entry_time", "deadline", "stop_price", "target_price")
+    pairs = narrow.join(ends, [SERIES, "deadline"]).join(keyed, [SERIES, "deadline"]).where(F.col("bar_ts") >= F.col("entry_time"))
     o, h, lo, c = (F.col(x) for x in ("open", "high", "low", "close"))
     stop, target = F.col("stop_price"), F.col("target_price")
     event = lambda price, why: F.struct(F.col("bar_ts").alias("exit_time"), price.alias("exit_price"), F.lit(why).alias("exit_reason"))
@@ -68,8 +69,9 @@ def simulate(candidates: DataFrame, bars: DataFrame) -> DataFrame:
         .when(lo <= stop, event(stop, "SL")).when(h >= target, event(target, "TP"))
         .when(~F.col("_has") & (F.col("bar_ts") == F.col("_last")), event(c, "FLAT_1500"))
     )
-    keys = candidates.columns
-    return pairs.withColumn("_e", first).groupBy(*keys).agg(F.min("_e").alias("_e")).where(F.col("_e").isNotNull()).select(*keys, "_e.*")
+    # Pairs carry a candidate's key and prices only; its other columns come back by the key, an entry time of a series.
+    found = pairs.withColumn("_e", first).groupBy(SERIES, "entry_time").agg(F.min("_e").alias("_e")).where(F.col("_e").isNotNull())
+    return candidates.join(found, [SERIES, "entry_time"]).select(*candidates.columns, "_e.*")
 
 
 def accept_one_at_a_time(simulated: DataFrame) -> DataFrame:

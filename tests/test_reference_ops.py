@@ -57,7 +57,7 @@ def test_fracdiff_orientation_and_warmup(spark):
     assert [r[1] for r in got] == [None, None, 3.25]
 
 
-@pytest.mark.parametrize("span,block", [(60, 64), (2, 64), (1, 64), (60, 4096)])
+@pytest.mark.parametrize("span,block", [(60, 64), (2, 64), (1, 64), (60, 4096), (60, 1)])
 def test_ema_against_loop(spark, span, block):
     from barloom.operators.blocks import with_positions
 
