@@ -209,17 +209,18 @@ def duplicate_keys(spark, d):
     return B.duplicate_keys(table(spark, d, "events"), ["user_id", "event_type"])
 
 
-_GAPS = f"WITH {_STORED}, t AS (SELECT DISTINCT contract, ts FROM b), g AS (SELECT contract, ts, lag(ts) OVER (PARTITION BY contract ORDER BY ts) AS prev FROM t), s AS (SELECT *, date_diff('microsecond', prev, ts) AS step FROM g)"
+_GAPS = "WITH t AS (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY ts) AS prev FROM events), s AS (SELECT *, date_diff('microsecond', prev, ts) AS step FROM t)"
 
 
-@query(f"{_GAPS} SELECT contract, count(*) FILTER (step > 60000000) AS gaps, coalesce(sum(greatest(step // 60000000 - 1, 0)) FILTER (step > 60000000), 0)::BIGINT AS missing_intervals FROM s GROUP BY 1")
+@query(f"{_GAPS} SELECT event_type, count(*) FILTER (step > 60000000) AS gaps, coalesce(sum(greatest(step // 60000000 - 1, 0)) FILTER (step > 60000000), 0)::BIGINT AS missing_intervals FROM s GROUP BY 1")
 def missing_intervals(spark, d):
-    return B.gaps(stored_bars(spark, d), 60_000_000, ts="bar_ts", keys=["contract"])
+    return B.gaps(ticks(spark, d), 60_000_000, ts="bar_ts", keys=["event_type"])
 
 
-@query(f"{_GAPS} SELECT contract, prev AS after, ts AS before, (step // 60000000 - 1)::BIGINT AS missing_intervals FROM s WHERE step > 60000000 ORDER BY contract, prev LIMIT 20")
+@query(f"{_GAPS} SELECT event_type AS contract, prev AS after, ts AS before, greatest(step // 60000000 - 1, 0)::BIGINT AS missing_intervals FROM s WHERE step > 60000000 ORDER BY contract, prev LIMIT 20")
 def gap_samples(spark, d):
-    return B.gap_samples(stored_bars(spark, d), 60_000_000, ts="bar_ts", keys=["contract"])
+    """The first gaps, as a data manifest lists them."""
+    return B.gap_samples(ticks(spark, d), 60_000_000, ts="bar_ts", keys=["event_type"])
 
 
 @query(f"SELECT bar_ts, count(DISTINCT event_type) AS contracts FROM ({bars_sql('1 minute', 'event_type')}) GROUP BY 1 HAVING count(DISTINCT event_type) > 1")
